@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StringType, StructType
+
+STRING, INT, LONG, DOUBLE = StringType(), IntegerType(), LongType(), DoubleType()
+
+
+def typed(columns: dict[str, DataType]) -> StructType:
+    schema = StructType()
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
 
 RAW_TEXTS = [
     "property_name", "link", "society", "price", "area", "areaWithType", "bedRoom", "bathroom",
@@ -25,24 +35,21 @@ def raw_schema(kind: str) -> StructType:
         names = [HOUSE_RENAMES.get(c, c) for c in RAW_TEXTS]
     else:
         names = RAW_TEXTS
-    return StructType.fromDDL(", ".join(f"`{c}` string" for c in names))
-
-
-CLEAN = StructType.fromDDL(
-    "listing_id bigint, city string, property_name string, property_type string, "
-    "society string, price double, price_per_sqft double, area double, areaWithType string, "
-    "bedRoom int, bathroom int, balcony string, additionalRoom string, address string, "
-    "floorNum double, facing string, agePossession string, nearbyLocations string, "
-    "description string, furnishDetails string, features string, rating string"
-)
-
-FINAL_COLUMNS = [
-    "city", "property_type", "sector", "price", "bedRoom", "bathroom", "balcony", "agePossession",
-    "built_up_area", "servant room", "store room", "furnishing_type", "luxury_category",
-    "floor_category",
-]
-FINAL = StructType.fromDDL(
-    "listing_id bigint, city string, property_type string, sector string, price double, bedRoom int, "
-    "bathroom int, balcony string, agePossession string, built_up_area double, `servant room` int, "
-    "`store room` int, furnishing_type int, luxury_category string, floor_category string"
-)
+    return typed({c: STRING for c in names})
+
+
+CLEAN = typed({
+    "listing_id": LONG, "city": STRING, "property_name": STRING, "property_type": STRING, "society": STRING,
+    "price": DOUBLE, "price_per_sqft": DOUBLE, "area": DOUBLE, "areaWithType": STRING, "bedRoom": INT,
+    "bathroom": INT, "balcony": STRING, "additionalRoom": STRING, "address": STRING, "floorNum": DOUBLE,
+    "facing": STRING, "agePossession": STRING, "nearbyLocations": STRING, "description": STRING,
+    "furnishDetails": STRING, "features": STRING, "rating": STRING,
+})
+
+FINAL = typed({
+    "listing_id": LONG, "city": STRING, "property_type": STRING, "sector": STRING, "price": DOUBLE,
+    "bedRoom": INT, "bathroom": INT, "balcony": STRING, "agePossession": STRING, "built_up_area": DOUBLE,
+    "servant room": INT, "store room": INT, "furnishing_type": INT, "luxury_category": STRING,
+    "floor_category": STRING,
+})
+FINAL_COLUMNS = [c for c in FINAL.names if c != "listing_id"]
