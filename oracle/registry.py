@@ -249,7 +249,7 @@ def frequent_sectors(spark, folder):
 
 
 GEO_SQL = f"""
-gaz AS (SELECT * FROM {GAZETTEER}),
+gaz AS (SELECT city, ord, key, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, generic FROM {GAZETTEER}),
 places AS (SELECT DISTINCT sector, city, trim(regexp_replace(lower(sector), '[^a-z0-9 ]', ' ', 'g')) AS s FROM sectored WHERE sector IS NOT NULL),
 cand AS (
   SELECT sector, places.city, 1 AS tier, 0 AS shorter, ord, lat, lon FROM places JOIN gaz ON gaz.city = places.city AND key = s
