@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keystead.functions.numeric import half_even, round_exact
+from keystead.functions.numeric import half_even, let, round_exact
 
 # The characters trimmed as white space: all that Unicode counts as such.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -44,7 +44,7 @@ def strip(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for NULL and for text of white space only."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~F.rlike(c, F.lit(r"(?U)\S")), F.lit(True))
 
 
 def missing_to_null(c: Column) -> Column:
@@ -63,7 +63,7 @@ def _per_crore(unit: Column) -> Column:
 
 def price_to_cr(c: Column) -> Column:
     """Price text to crore: the midpoint of a range, or the single value."""
-    s = strip(F.replace(c, F.lit("₹"), F.lit("")))
+    s = F.replace(c, F.lit("₹"), F.lit(""))
     range_unit = F.regexp_extract(s, PRICE_RANGE, 3)
     midpoint = (
         _number(F.regexp_extract(s, PRICE_RANGE, 1)) + _number(F.regexp_extract(s, PRICE_RANGE, 2))
@@ -122,8 +122,8 @@ def floor_number(c: Column) -> Column:
 def society(c: Column, kind: Column) -> Column:
     """Society name without its star rating; a house without one is ``independent``."""
     name = F.lower(strip(F.regexp_replace(F.coalesce(c, F.lit("")), STAR_RATING, "")))
-    name = F.when(name == "nan", F.lit("")).otherwise(name)
-    return F.when((kind == "house") & (name == ""), F.lit("independent")).otherwise(name)
+    unnamed = F.when(kind == "house", F.lit("independent")).otherwise(F.lit(""))
+    return let(name, lambda n: F.when(n.isin("", "nan"), unnamed).otherwise(n))
 
 
 def rate_per_sqft(c: Column) -> Column:
@@ -133,23 +133,38 @@ def rate_per_sqft(c: Column) -> Column:
 
 
 def description_facts(c: Column) -> Column:
-    """Bedroom, price and area ranges that a free description states."""
-    rooms = F.transform(
-        F.split(F.regexp_extract(c, DESC_BEDROOMS, 1), ","), lambda x: strip(x).try_cast("int")
-    )
-    high_unit = F.regexp_extract(c, DESC_PRICE, 4)
-    low_unit = F.coalesce(F.nullif(F.regexp_extract(c, DESC_PRICE, 2), F.lit("")), high_unit)
-
-    def area(group: int) -> Column:
-        return F.replace(F.regexp_extract(c, DESC_AREA, group), F.lit(","), F.lit("")).try_cast("long")
+    """Bedroom, price and area ranges that a free description states.
+
+    Each pattern searches the description once; the parts are then taken from
+    the short piece it found.
+    """
+
+    def found(pattern: str, read) -> Column:
+        return let(F.regexp_extract(c, pattern, 0), read)
+
+    def rooms(piece: Column) -> Column:
+        numbers = F.transform(
+            F.split(F.regexp_extract(piece, DESC_BEDROOMS, 1), ","), lambda x: strip(x).try_cast("int")
+        )
+        return let(numbers, lambda n: F.struct(F.array_min(n).alias("min"), F.array_max(n).alias("max")))
+
+    def prices(piece: Column) -> Column:
+        high_unit = F.regexp_extract(piece, DESC_PRICE, 4)
+        low_unit = F.regexp_extract(piece, DESC_PRICE, 2)
+        low_unit = F.when(low_unit == "", high_unit).otherwise(low_unit)
+        return F.struct(
+            (_number(F.regexp_extract(piece, DESC_PRICE, 1)) / _per_crore(low_unit)).alias("min"),
+            (_number(F.regexp_extract(piece, DESC_PRICE, 3)) / _per_crore(high_unit)).alias("max"),
+        )
+
+    def areas(piece: Column) -> Column:
+        ends = [F.replace(F.regexp_extract(piece, DESC_AREA, g), F.lit(","), F.lit("")) for g in (1, 2)]
+        return F.struct(ends[0].try_cast("long").alias("min"), ends[1].try_cast("long").alias("max"))
 
     return F.struct(
-        F.array_min(rooms).alias("bed_min"),
-        F.array_max(rooms).alias("bed_max"),
-        (_number(F.regexp_extract(c, DESC_PRICE, 1)) / _per_crore(low_unit)).alias("price_min"),
-        (_number(F.regexp_extract(c, DESC_PRICE, 3)) / _per_crore(high_unit)).alias("price_max"),
-        area(1).alias("area_min"),
-        area(2).alias("area_max"),
+        found(DESC_BEDROOMS, rooms).alias("bed"),
+        found(DESC_PRICE, prices).alias("price"),
+        found(DESC_AREA, areas).alias("area"),
     )
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystead.functions.text import description_facts, is_blank
 
 
+RECOVERED = {"bedRoom": "bed", "price": "price", "areaWithType": "area"}
+
+
 def with_facts(raw: DataFrame) -> DataFrame:
-    """Adds ``facts``, the ranges stated in the description."""
-    return raw.withColumn("facts", description_facts(F.col("description")))
+    """Adds ``facts``, the ranges stated in the description.
+
+    Descriptions are searched only where one of the three fields is blank.
+    """
+    incomplete = reduce(lambda a, b: a | b, [is_blank(F.col(c)) for c in RECOVERED])
+    return raw.withColumn("facts", F.when(incomplete, description_facts(F.col("description"))))
 
 
 def _plain(c: Column) -> Column:
@@ -23,13 +32,13 @@ def _plain(c: Column) -> Column:
 def recovered_texts(facts: Column) -> dict[str, Column]:
     """The three fields as listing text, NULL where the description is silent."""
     rooms = F.when(
-        facts["bed_min"] == facts["bed_max"], F.concat(facts["bed_min"].cast("string"), F.lit(" Bedrooms"))
+        facts["bed"]["min"] == facts["bed"]["max"], F.concat(facts["bed"]["min"].cast("string"), F.lit(" Bedrooms"))
     ).otherwise(
-        F.concat(facts["bed_min"].cast("string"), F.lit("-"), facts["bed_max"].cast("string"), F.lit(" BHK"))
+        F.concat(facts["bed"]["min"].cast("string"), F.lit("-"), facts["bed"]["max"].cast("string"), F.lit(" BHK"))
     )
-    price = F.concat(F.lit("₹ "), _plain(facts["price_min"]), F.lit(" - "), _plain(facts["price_max"]), F.lit(" Cr"))
+    price = F.concat(F.lit("₹ "), _plain(facts["price"]["min"]), F.lit(" - "), _plain(facts["price"]["max"]), F.lit(" Cr"))
     area = F.concat(
-        F.format_number(facts["area_min"], 0), F.lit(" - "), F.format_number(facts["area_max"], 0), F.lit(" sqft")
+        F.format_number(facts["area"]["min"], 0), F.lit(" - "), F.format_number(facts["area"]["max"], 0), F.lit(" sqft")
     )
     return {"bedRoom": rooms, "price": price, "areaWithType": area}
 

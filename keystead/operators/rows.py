@@ -31,16 +31,23 @@ def distinct_rows(df: DataFrame, order: str = "listing_id") -> DataFrame:
     return df.groupBy(*content).agg(F.min(order).alias(order)).select(*df.columns)
 
 
-def has_core_text(df: DataFrame) -> Column:
-    """Price, bedroom or area text is present (the negation of F1)."""
-    return reduce(lambda a, b: a | b, [~is_blank(F.col(c)) for c in CORE_TEXTS])
+def has_core_text(facts: Column | None = None) -> Column:
+    """Price, bedroom or area text is there, or will be once recovered from ``facts`` (F1 negated).
+
+    The texts come first, so the description is looked at only where all are blank.
+    """
+    tests = [~is_blank(F.col(c)) for c in CORE_TEXTS] + ([] if facts is None else _stated(facts))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _stated(facts: Column) -> list[Column]:
+    return [facts[f]["min"].isNotNull() for f in ("bed", "price", "area")]
 
 
 def is_empty_listing(facts: Column, area_text: Column | None = None) -> Column:
     """No price, bedroom or area text and nothing parseable in the description (F2)."""
     texts = [F.col(c) for c in CORE_TEXTS] + ([] if area_text is None else [area_text])
-    stated = [facts[f].isNotNull() for f in ("bed_min", "price_min", "area_min")]
-    return ~reduce(lambda a, b: a | b, [~is_blank(c) for c in texts] + stated)
+    return ~reduce(lambda a, b: a | b, [~is_blank(c) for c in texts] + _stated(facts))
 
 
 def frequent_groups(df: DataFrame, key: str, at_least: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keystead.functions import text as tx
 from keystead.functions.features import area_from_rate
 from keystead.operators.quantiles import medians
-from keystead.operators.recover import recover, with_facts
+from keystead.operators.recover import RECOVERED, recover, with_facts
 from keystead.operators.rows import first_per_key, has_core_text, is_empty_listing
 from keystead.schemas import CLEAN
 from keystead.storage import lookup_join, materialise
@@ -27,7 +27,7 @@ def typed_listings(raw: DataFrame) -> DataFrame:
     The description is parsed once; each recovered text goes through the same
     parser as a text that was there from the start.
     """
-    df = recover(raw).where(has_core_text(raw))
+    df = recover(with_facts(raw).where(has_core_text(F.col("facts"))))
     price = tx.price_to_cr(F.col("price"))
     kind = F.col("property_type")
     return (
@@ -83,26 +83,23 @@ def source_counts(df: DataFrame) -> DataFrame:
 
 def repair(raw: DataFrame) -> DataFrame:
     """A raw table with recovered texts, without empty rows and repeated ids."""
-    facts = F.col("facts")
-    kept = recover(raw).where(~is_empty_listing(facts, F.col("rate"))).drop("facts")
-    return first_per_key(kept, ["property_id"])
+    kept = with_facts(raw).where(~is_empty_listing(F.col("facts"), F.col("rate")))
+    return first_per_key(recover(kept).drop("facts"), ["property_id"])
 
 
 def repair_counts(raw: DataFrame) -> DataFrame:
     """How many fields of each kind the repair fills from descriptions."""
-    stated = {"bedRoom": "bed_min", "price": "price_min", "areaWithType": "area_min"}
     filled = [
-        F.count_if(tx.is_blank(F.col(field)) & F.col("facts")[fact].isNotNull()).alias(f"filled_{field}")
-        for field, fact in stated.items()
+        F.count_if(tx.is_blank(F.col(field)) & F.col("facts")[fact]["min"].isNotNull()).alias(f"filled_{field}")
+        for field, fact in RECOVERED.items()
     ]
     return with_facts(raw).agg(*filled)
 
 
 def clean_funnel(raw: DataFrame) -> DataFrame:
     """Rows read, dropped by each rule and kept, per source."""
-    typed = recover(raw)
-    core = has_core_text(raw)
-    per_source = typed.groupBy(*SOURCE).agg(
+    core = has_core_text(F.col("facts"))
+    per_source = with_facts(raw).groupBy(*SOURCE).agg(
         F.count(F.lit(1)).alias("rows_read"), F.count_if(~core).alias("dropped_empty")
     )
     unique = deduplicated(typed_listings(raw)).select(*SOURCE, *CORE)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystead.storage import spread
+
 RAW_LISTINGS_SQL = """
 WITH base AS (
   SELECT o_orderkey AS k, o_custkey AS ck, c_nationkey AS nk, n_regionkey AS rk,
@@ -69,6 +71,7 @@ def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_listings_of(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    orders = spread(orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
     raw = orders.sparkSession.sql(
         RAW_LISTINGS_SQL.replace("FROM orders JOIN customer", "FROM {orders} orders JOIN {customer} customer")
         .replace("JOIN nation", "JOIN {nation} nation"),

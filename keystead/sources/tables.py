@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from keystead.schemas import HOUSE_RENAMES, RAW_TEXTS, raw_schema
-from keystead.storage import read_if_present
+from keystead.storage import read_if_present, spread
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 
@@ -94,4 +94,4 @@ def append_new(new: DataFrame, path: str, key: str = "property_id") -> None:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored web pages, one row per page."""
-    return spark.read.schema("page_id bigint, url string, html string").parquet(path)
+    return spread(spark.read.schema("page_id bigint, url string, html string").parquet(path), "page_id")

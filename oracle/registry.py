@@ -102,8 +102,11 @@ def parse_area(spark, folder):
     over("facts", f"SELECT listing_id, bed_min, bed_max, {s6('price_min')} AS price_min, {s6('price_max')} AS price_max, area_min, area_max FROM facts"),
 )
 def parse_description(spark, folder):
-    facts = recover.with_facts(raw_listings(spark, folder)).select("listing_id", "facts.*")
-    return facts.withColumns({"price_min": r6(F.col("price_min")), "price_max": r6(F.col("price_max"))})
+    facts = tx.description_facts(F.col("description"))
+    ends = raw_listings(spark, folder).select("listing_id", facts.alias("facts")).select(
+        "listing_id", *[F.col("facts")[fact][end].alias(f"{fact}_{end}") for fact in ("bed", "price", "area") for end in ("min", "max")]
+    )
+    return ends.withColumns({"price_min": r6(F.col("price_min")), "price_max": r6(F.col("price_max"))})
 
 
 @query("recover", over("recovered", "SELECT listing_id, bedRoom, price, areaWithType FROM recovered"))
@@ -815,8 +818,9 @@ def price_compare(spark, folder):
 
 
 def _entities(expr: str) -> str:
-    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        expr = f"replace({expr}, {q(old)}, {q(new)})"
+    """Character references decoded as HTML does: these names need no closing semicolon."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{name};?', {q(char)}, 'g')"
     return expr
 
 
