@@ -30,16 +30,16 @@ def area_ratios(df: DataFrame) -> DataFrame:
 
 def impute_built_up(df: DataFrame) -> DataFrame:
     """Built-up area from the areas that are known, then the premium check."""
-    ratios = materialise(area_ratios(df), "ratios")
-    from_super = F.col("super_built_up_area") / ratios.select("r_super").scalar()
-    from_carpet = F.col("carpet_area") / ratios.select("r_carpet").scalar()
+    ratios = area_ratios(df).select(F.struct("r_super", "r_carpet")).scalar()
+    from_super = F.col("super_built_up_area") / F.col("ratios.r_super")
+    from_carpet = F.col("carpet_area") / F.col("ratios.r_carpet")
     built = F.coalesce(
         F.col("built_up_area"),
         half_even((from_super + from_carpet) / 2),
         half_even(F.when(F.col("carpet_area").isNull(), from_super)),
         half_even(F.when(F.col("super_built_up_area").isNull(), from_carpet)),
     )
-    filled = df.withColumn("built_up_area", built)
+    filled = df.withColumn("ratios", ratios).withColumn("built_up_area", built).drop("ratios")
     premium = (F.col("built_up_area") < PREMIUM_MIN_AREA) & (F.col("price") > PREMIUM_PRICE)
     return filled.withColumn(
         "built_up_area",
@@ -71,12 +71,8 @@ def mode_fill_values(
     counts = materialise(counts.withColumn("was", F.col(column)), "age-counts")
     for group in passes:
         modes = group_modes(counts, group, column)
-        counts = materialise(
-            counts.join(modes, group, "left")
-            .withColumn(column, F.when(F.col(column) == sentinel, F.coalesce("mode", column)).otherwise(F.col(column)))
-            .drop("mode"),
-            "age-counts",
-        )
+        replaced = F.when(F.col(column) == sentinel, F.coalesce("mode", column)).otherwise(F.col(column))
+        counts = materialise(counts.join(modes, group, "left").withColumn(column, replaced).drop("mode"), "age-counts")
     return counts.where(F.col("was") == sentinel).select(*keys, F.col(column).alias("filled"))
 
 

@@ -26,7 +26,7 @@ def iqr_limit(df: DataFrame, column: str = "price_per_sqft", k: float = 1.5) ->
 
 def fix_rate_scale(df: DataFrame, k: float = 1.5) -> DataFrame:
     """Rows above the rate limit: a small area is taken as square yards, the rate is recomputed."""
-    upper = materialise(iqr_limit(df, k=k).select("upper"), "limit").scalar()
+    upper = iqr_limit(df, k=k).select("upper").scalar()
     flagged = df.withColumn("is_outlier", F.coalesce(F.col("price_per_sqft") > upper, F.lit(False)))
     area = F.when(F.col("area") < SMALL_AREA, F.col("area") * SMALL_AREA_FACTOR).otherwise(F.col("area"))
     fixed = flagged.withColumn("area", F.when(F.col("is_outlier"), area).otherwise(F.col("area")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,12 @@ def prepare(
     featured = featurise(located, weights)
     treated = materialise(treat_outliers(featured, corrections, bad_rows), "treated")
     return select_final(impute(treated))
+
+
+def stage_funnel(stages: dict[str, DataFrame]) -> DataFrame:
+    """Rows left after each stage, in stage order."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(i).alias("ord"), F.lit(name).alias("stage"), "n_rows")
+        for i, (name, df) in enumerate(stages.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -440,6 +440,15 @@ def final_table_clustered(spark, folder):
     return final(spark, folder)
 
 
+FUNNEL = ["raw", "merged", "located", "treated", "final"]
+
+
+@query("stage_funnel", over("final", " UNION ALL ".join(f"SELECT {i} AS ord, '{name}' AS stage, count(*) AS n_rows FROM {name}" for i, name in enumerate(FUNNEL))))
+def stage_funnel(spark, folder):
+    raw = raw_listings(spark, folder)
+    return prepare.stage_funnel({"raw": raw, **{name: stage(spark, folder, name) for name in FUNNEL[1:]}})
+
+
 # ---------------------------------------------------------------- market views
 
 
