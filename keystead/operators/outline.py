@@ -27,9 +27,10 @@ SILENT_TAGS = frozenset(["script", "style", "template"])
 
 
 class _Outline(HTMLParser):
-    def __init__(self, wanted: frozenset[str]):
+    def __init__(self, wanted: frozenset[str], with_text: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.open, self.texts, self.found, self.count = wanted, [], [], [], 0
+        self.wanted, self.with_text = wanted, with_text
+        self.open, self.texts, self.found, self.count = [], [], [], 0
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
@@ -39,6 +40,7 @@ class _Outline(HTMLParser):
         self.count += 1
         self.open.append(node)
         names = {tag, "#" + values.get("id", ""), *("." + c for c in classes)}
+        node["keep text"] = bool(names & self.with_text)
         if names & self.wanted:
             self.found.append(node)
         if tag in VOID_TAGS:
@@ -64,20 +66,28 @@ class _Outline(HTMLParser):
         while self.open:
             self._close()
         for node in self.found:
-            node["text"] = "".join(self.texts[node.pop("from"):node.pop("to")])
+            start, end = node.pop("from"), node.pop("to")
+            node["text"] = "".join(self.texts[start:end]) if node.pop("keep text") else None
         return self.found
 
 
-def with_elements(pages: DataFrame, wanted: list[str], html: str = "html") -> DataFrame:
-    """Replaces the markup by ``elements``: those with a wanted tag, ``#id`` or ``.class`` (H1, H2)."""
-    names = frozenset(wanted)
+def with_elements(
+    pages: DataFrame, wanted: list[str], structure: list[str] | None = None, html: str = "html"
+) -> DataFrame:
+    """Replaces the markup by ``elements``: those with a wanted tag, ``#id`` or ``.class`` (H1, H2).
+
+    Elements named only in ``structure`` come without their text, which nested
+    containers would otherwise repeat at every level.
+    """
+    with_text = frozenset(wanted)
+    names = with_text | frozenset(structure or [])
     kept = [c for c in pages.columns if c != html]
     schema = StructType([pages.schema[c] for c in kept]).add("elements", ArrayType(ELEMENT))
     arrow_type = to_arrow_type(ArrayType(ELEMENT))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [_Outline(names).elements(page or "") for page in batch.column(html).to_pylist()]
+            parsed = [_Outline(names, with_text).elements(page or "") for page in batch.column(html).to_pylist()]
             columns = [batch.column(c) for c in kept] + [pa.array(parsed, arrow_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "elements"])
 

@@ -93,7 +93,7 @@ def page_fields(pages: DataFrame, spec: dict[str, dict]) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every link in a page's navigation, one row each (H2, H5)."""
-    parsed = with_elements(pages.select("page_id", "html"), ["nav", "a"])
+    parsed = with_elements(pages.select("page_id", "html"), ["a"], ["nav"])
     links = choose(F.col("elements"), tag="a", inside=first(choose(F.col("elements"), tag="nav")))
     return parsed.select("page_id", F.posexplode(links).alias("place", "e")).select(
         "page_id", "place", F.try_element_at("e.attrs", F.lit("href")).alias("href"), text_of(F.col("e")).alias("text")
@@ -102,7 +102,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def with_search_block(pages: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Pages with their elements and ``search``, the block that holds the results."""
-    parsed = with_elements(pages, ["div", *(extra or [])])
+    parsed = with_elements(pages, extra or [], ["div", "section"])
     return parsed.withColumn("search", first(choose(F.col("elements"), tag="div", attr=SEARCH_BLOCK)))
 
 
@@ -126,7 +126,9 @@ def cards(pages: DataFrame, site: str) -> DataFrame:
     A card with a heading link is a unit; otherwise its first link into
     ``site`` makes it a project. Ids lose their leading D and Z.
     """
-    parsed = with_search_block(pages.select("page_id", "html"), ["section", "a", "h2", "span", "p", f".{PROJECT_HEADING}"])
+    parsed = with_search_block(
+        pages.select("page_id", "html"), ["a", "h2", "span", "p", *[f".{c}" for c in CARD_CLASSES.values()]]
+    )
     sections = choose(F.col("elements"), tag="section", attr=CARD_SECTION, inside=F.col("search"))
     one = parsed.where(F.col("search").isNotNull()).select("page_id", F.explode(sections).alias("sec"), "elements")
     own = one.withColumn("e", choose(F.col("elements"), inside=F.col("sec"))).drop("elements")
@@ -185,20 +187,21 @@ def new_cards(found: DataFrame) -> DataFrame:
 def details(pages: DataFrame) -> DataFrame:
     """Listing fields of every detail page, keyed by ``link`` (H1-H4)."""
     wanted = [f"#{i}" for i in DETAIL_IDS.values()]
-    wanted += [f".{NEARBY}", f".{NEARBY_ITEM}", f"#{FURNISHING}", f"#{FEATURES}", f".{RATING}", "li"]
-    parsed = with_elements(pages.select(F.col("url").alias("link"), "html"), wanted)
+    wanted += [f".{NEARBY_ITEM}", f".{RATING}", "li"]
+    blocks = [f".{NEARBY}", f"#{FURNISHING}", f"#{FEATURES}"]
+    parsed = with_elements(pages.select(F.col("url").alias("link"), "html"), wanted, blocks)
     e = F.col("elements")
     fields = {name: text_of(first(choose(e, id=i))) for name, i in DETAIL_IDS.items()}
     nearby = items_of(e, first(choose(e, tag="div", cls=NEARBY)), tag="span", cls=NEARBY_ITEM)
     furnishing = items_of(e, first(choose(e, id=FURNISHING)), tag="li")
-    blocks = choose(e, id=FEATURES)
+    feature_blocks = choose(e, id=FEATURES)
     step = parsed.withColumns({
         **fields,
         "nearbyLocations": nearby,
         "furnishDetails": furnishing,
         "rating": F.transform(choose(e, tag="div", cls=RATING, path=RATING_PATH), lambda x: x["text"]),
     })
-    block = F.get(blocks, F.when(F.size("furnishDetails") > 0, F.lit(1)).otherwise(F.lit(0)))
+    block = F.get(feature_blocks, F.when(F.size("furnishDetails") > 0, F.lit(1)).otherwise(F.lit(0)))
     return step.withColumn("block", block).withColumn("features", items_of(e, F.col("block"), tag="li")).drop("elements", "block")
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from keystead.operators import quantiles as module
 from keystead.operators.quantiles import medians, quantiles
 
 
@@ -15,8 +16,10 @@ def table(spark, seed):
     return hot + wide + dense + few
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
 @pytest.mark.parametrize("partitions", [1, 13])
-def test_against_numpy(spark, partitions):
+def test_against_numpy(spark, monkeypatch, partitions, limit):
+    monkeypatch.setattr(module, "DIRECT_LIMIT", limit)
     rows = table(spark, partitions)
     df = spark.createDataFrame(rows, "k string, v double").repartition(partitions)
     wanted = {"q1": ("v", 0.25), "m": ("v", 0.5), "q9": ("v", 0.9)}
@@ -27,7 +30,9 @@ def test_against_numpy(spark, partitions):
         assert np.allclose(found, np.quantile(values, [0.25, 0.5, 0.9]), rtol=1e-12)
 
 
-def test_whole_table_and_several_columns(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_whole_table_and_several_columns(spark, monkeypatch, limit):
+    monkeypatch.setattr(module, "DIRECT_LIMIT", limit)
     df = spark.range(1, 1002).selectExpr("cast(id as double) v", "cast(id % 10 as int) w")
     assert tuple(medians(df, [], {"v": "v", "w": "w"}).first()) == (501.0, float(np.median([i % 10 for i in range(1, 1002)])))
     empty = medians(df.where("v < 0"), [], {"v": "v"}).collect()
