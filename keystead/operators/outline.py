@@ -23,6 +23,7 @@ ELEMENT = typed({
     "classes": ArrayType(STRING), "attrs": MapType(STRING, STRING), "text": STRING,
 })
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+PAGES_AT_ONCE = 64  # outlines built before they are handed on, to bound a task's memory
 SILENT_TAGS = frozenset(["script", "style", "template"])
 
 
@@ -87,9 +88,11 @@ def with_elements(
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [_Outline(names, with_text).elements(page or "") for page in batch.column(html).to_pylist()]
-            columns = [batch.column(c) for c in kept] + [pa.array(parsed, arrow_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "elements"])
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(start, PAGES_AT_ONCE)
+                parsed = [_Outline(names, with_text).elements(page or "") for page in part.column(html).to_pylist()]
+                columns = [part.column(c) for c in kept] + [pa.array(parsed, arrow_type)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "elements"])
 
     return pages.select(*kept, html).mapInArrow(outline, schema)
 

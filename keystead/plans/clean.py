@@ -73,7 +73,7 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def merge(cleaned: DataFrame) -> DataFrame:
     """Cleaned listings as the next stage sees them: missing texts are NULL."""
-    return cleaned.withColumns({c: tx.missing_to_null(F.col(c)) for c in STAGE_TEXTS})
+    return cleaned.withColumns({c: tx.missing_to_null(F.col(c)) for c in STAGE_TEXTS if c in cleaned.columns})
 
 
 def source_counts(df: DataFrame) -> DataFrame:

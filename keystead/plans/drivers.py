@@ -57,12 +57,14 @@ def driver_features(df: DataFrame) -> DataFrame:
     })
 
 
-def encoded_rows(df: DataFrame, city: str | None = None) -> tuple[DataFrame, list[str]]:
+def encoded_rows(
+    df: DataFrame, city: str | None = None, numbers: list[str] = NUMBERS, encoded: list[str] = ENCODED
+) -> tuple[DataFrame, list[str]]:
     """Feature vectors and labels of a city's listings (all cities if None), and the feature names."""
     rows = driver_features(select_listings(df, city=city))
-    encoder = fit_encoder(rows, ENCODED, NUMBERS)
+    encoder = fit_encoder(rows, encoded, numbers)
     vectors = encoder.transform(rows).select("listing_id", "features", "label")
-    return materialise(vectors, "driver-rows"), feature_names(encoder, ENCODED, NUMBERS)
+    return materialise(vectors, "driver-rows"), feature_names(encoder, encoded, numbers)
 
 
 def _regression(names: list[str], penalty: float = 0.0) -> LinearRegression:
@@ -70,14 +72,20 @@ def _regression(names: list[str], penalty: float = 0.0) -> LinearRegression:
     return LinearRegression(solver=solver, regParam=penalty, elasticNetParam=0.0, standardization=True)
 
 
-def fit_drivers(df: DataFrame, city: str | None = None, alpha: float = 1e-4) -> DriverModel:
+def fit_drivers(
+    df: DataFrame,
+    city: str | None = None,
+    alpha: float = 1e-4,
+    numbers: list[str] = NUMBERS,
+    encoded: list[str] = ENCODED,
+) -> DriverModel:
     """Ridge on standardised features; ``alpha`` 0 gives least squares (A-M10).
 
     MLlib penalises the standardised coefficients of raw, sparse features, so
     nothing is centred or filled in. Its penalty is relative to the rows and
     the deviation of the label, hence the factor.
     """
-    rows, names = encoded_rows(df, city)
+    rows, names = encoded_rows(df, city, numbers, encoded)
     metrics = Summarizer.metrics("mean", "std", "count").summary(F.col("features"))
     stats = rows.agg(metrics.alias("m"), F.stddev_pop("label").alias("spread")).select("m.*", "spread").first()
     n = stats["count"]

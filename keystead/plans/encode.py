@@ -15,6 +15,8 @@ def fit_encoder(df: DataFrame, categorical: list[str], numeric: list[str], drop_
     dropped. A level unknown at fitting gets the same all-zero code. Columns
     are read as text; the encoded names are in ``feature_names``.
     """
+    if not categorical:
+        return PipelineModel([VectorAssembler(inputCols=numeric, outputCol="features")])
     texts = ", ".join(f"CAST(`{c}` AS STRING) AS `text {c}`" for c in categorical)
     as_text = SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__")
     indexer = StringIndexer(
@@ -39,7 +41,7 @@ def fit_encoder(df: DataFrame, categorical: list[str], numeric: list[str], drop_
 
 def feature_names(encoder: PipelineModel, categorical: list[str], numeric: list[str]) -> list[str]:
     """Names of the vector positions: numbers, then ``column_level``."""
-    levels = encoder.stages[1].labelsArray
+    levels = encoder.stages[1].labelsArray if categorical else []
     return [*numeric, *(f"{c}_{level}" for c, labels in zip(categorical, levels) for level in labels[:-1])]
 
 

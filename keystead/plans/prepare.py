@@ -13,7 +13,7 @@ from keystead.operators.furnish import furnishing_levels
 from keystead.operators.impute import impute
 from keystead.operators.outliers import treat_outliers
 from keystead.operators.rows import frequent_groups
-from keystead.plans.clean import clean, merge
+from keystead.plans.clean import CORE, deduplicated, fill_bathrooms, merge, typed_listings
 from keystead.schemas import FINAL_COLUMNS
 from keystead.storage import materialise
 
@@ -71,20 +71,33 @@ def select_final(df: DataFrame) -> DataFrame:
     return banded.select("listing_id", *[c for c in FINAL_COLUMNS if c in banded.columns])
 
 
+def row_features(typed: DataFrame, aliases: list[tuple[str, str]] | None = None, weights: dict[str, int] | None = None) -> DataFrame:
+    """Everything that a listing's own row determines, without the texts it came from."""
+    located = with_sector(merge(typed), aliases)
+    done = {*LOCATED_DROPS, *TEXT_DROPS} - {"furnishDetails"}
+    return featurise_texts(located, weights).drop(*done)
+
+
 def prepare(
     raw: DataFrame,
     aliases: list[tuple[str, str]] | None = None,
     weights: dict[str, int] | None = None,
     corrections: DataFrame | None = None,
     bad_rows: DataFrame | None = None,
+    min_count: int = 3,
 ) -> DataFrame:
     """The whole way from raw texts to the model-ready table.
 
-    The stages are joined lazily; rows are written where a stage needs a
-    statistic of the very rows it then changes.
+    Same result as the stages one after the other. All work on single rows
+    comes before the first shuffle, so that long texts are never shuffled or
+    written; rows are written where a stage needs a statistic of the very rows
+    it then changes.
     """
-    located = materialise(locate(materialise(merge(clean(raw)), "merged"), aliases), "located")
-    featured = featurise(located, weights)
+    typed = row_features(typed_listings(raw), aliases, weights)
+    kept = materialise(deduplicated(typed).dropna(subset=CORE).drop("property_id"), "typed")
+    filled = fill_bathrooms(kept).where(F.col("sector").isNotNull())
+    frequent = frequent_groups(filled, "sector", min_count)
+    featured = furnishing_levels(frequent).drop("furnishDetails")
     treated = materialise(treat_outliers(featured, corrections, bad_rows), "treated")
     return select_final(impute(treated))
 

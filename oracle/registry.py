@@ -798,6 +798,24 @@ def driver_summary(spark, folder):
     return drivers.fit_summary(drivers.fit_drivers(final(spark, folder), "gurgaon", alpha=0.0))
 
 
+@query(
+    "driver_single",
+    over(
+        "final",
+        f"""SELECT {s6('regr_r2(y, x)')} AS r2, {s6('1 - (1 - regr_r2(y, x)) * (count(*) - 1) / (count(*) - 2)')} AS adj_r2, count(*) AS n_obs, 1 AS df_model,
+        {s6('regr_slope(y, x) * stddev_pop(x)')} AS coef, {s6('(exp(100 * regr_slope(y, x)) - 1) * 100')} AS price_pct
+        FROM (SELECT ln(1 + price) AS y, built_up_area AS x FROM final WHERE city = 'gurgaon')""",
+    ),
+)
+def driver_single(spark, folder):
+    """Least squares on one driver: its fit, standardised coefficient and the impact of 100 units."""
+    fitted = drivers.fit_drivers(final(spark, folder), "gurgaon", 0.0, ["built_up_area"], [])
+    coef = drivers.coefficients(fitted).select(r6(F.col("coef")).alias("coef"))
+    percent = F.expm1(F.lit(100.0) * F.lit(float(fitted.model.coefficients[0]))) * 100
+    row = drivers.fit_summary(fitted).select(r6(F.col("r2")).alias("r2"), r6(F.col("adj_r2")).alias("adj_r2"), "n_obs", "df_model")
+    return row.withColumn("coef", coef.scalar()).withColumn("price_pct", r6(percent))
+
+
 @query("driver_cv")
 def driver_cv(spark, folder):
     return drivers.driver_cv(final(spark, folder), "gurgaon")
