@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keystead.llm.common import table
+from keystead.llm import toxicity
+from keystead.llm.common import held_out, table
 from keystead.llm.exact_dedup import exact_groups
 from keystead.llm.packing import pack
+from keystead.llm.token_counts import token_counts
+from keystead.llm.url_filter import filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +27,54 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.where(~held_out("doc_id", 3, 1)))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out("doc_id", 3, 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+#: Host, start of path, verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, folder, "pages"), rules)
+
+
+OP4_SQL = """
+WITH cut AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages
+), rules(rhost, rpath, rverdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+           ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), numbered AS (SELECT *, row_number() OVER () AS n FROM cut)
+SELECT page_id, host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule,
+       coalesce(max_by(rverdict, length(rhost || rpath)), 'allow') AS verdict
+FROM numbered LEFT JOIN rules
+     ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+GROUP BY n, page_id, host, path
+"""
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL}
