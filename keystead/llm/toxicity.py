@@ -2,7 +2,7 @@
 
 A word is the mean of the embeddings of its character n-grams and of itself, so
 unseen misspellings share vectors with the words they come from. A window of a
-few words is the mean of its words and goes through a softmax of two classes;
+few distinct words is the mean of its words and goes through a softmax of two classes;
 embeddings and softmax are trained together in numpy. Only documents are
 labelled, and few of a toxic document's windows are toxic: training starts with
 all windows under their document's label and goes on with only the likeliest
@@ -38,24 +38,43 @@ WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Settings:
     documents: int = 6000
-    windows: int = 60
+    windows: int = 100
     window_words: int = 12
     buckets: int = 1 << 16
     dimensions: int = 8
-    epochs: int = 2
-    batch: int = 1024
-    rate: float = 0.3
+    rounds: int = 8
+    batch: int = 512
+    rate: float = 0.2
     seed: int = 7
 
 
-def grams(word: str, buckets: int) -> list[int]:
-    """Buckets of the whole word and of its n-grams of 3 to 5 characters."""
-    marked = f"<{word}>"
-    parts = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(part.encode("utf-8", "surrogatepass")) % buckets for part in [marked, *parts]]
-
-
-def windows(words: list[str], size: int) -> list[list[str]]:
+def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole of every word and its n-grams of 3 and 4 characters: index of the word, bucket."""
+    sizes = np.fromiter((len(word) + 2 for word in words), np.int64, len(words))
+    signs = "".join(f"<{word}>" for word in words).encode("utf-32-le", "surrogatepass")
+    signs = np.frombuffer(signs, "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(signs)) - np.repeat(ends - sizes, sizes)
+    prime, spread = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), prime))
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    owners, hashes = [np.arange(len(words))], [np.add.reduceat(signs * powers[inside], ends - sizes)]
+    for n in (3, 4):
+        at = np.flatnonzero(inside + n <= sizes[owner])
+        value = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            value = value * prime + signs[at + k]
+        owners.append(owner[at])
+        hashes.append(value)
+    mixed = np.concatenate(hashes) * spread
+    return np.concatenate(owners), ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def windows(text: str, size: int) -> list[list[str]]:
+    """The distinct words of a text, in order of first use, in windows."""
+    words = list(dict.fromkeys(WORD.findall(text.lower())))
     return [words[i : i + size] for i in range(0, len(words), size)]
 
 
@@ -70,28 +89,29 @@ class Model:
 
 
 class Bags:
-    """Words of many windows as bucket lists laid end to end."""
+    """Words of many windows, and the buckets of each distinct word, laid end to end."""
 
-    def __init__(self, found: list[list[str]], buckets: int):
+    def __init__(self, found: list[list[str]], buckets: int, size: int):
+        self.size = size
         vocabulary: dict[str, int] = {}
-        self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in window]) for window in found]
-        lists = [grams(word, buckets) for word in vocabulary]
-        self.sizes = np.array([len(x) for x in lists])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.flat = np.concatenate([np.array(x, np.int32) for x in lists])
-
-    def gather(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of the chosen windows, the weight of each in its window's mean, and the windows' starts."""
-        own = [self.words[k] for k in chosen]
-        each = np.concatenate(own)
-        lengths = np.array([len(x) for x in own])
-        sizes = self.sizes[each]
-        ends = np.cumsum(sizes)
-        inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        buckets = self.flat[np.repeat(self.starts[each], sizes) + inside]
-        share = np.repeat(1 / (sizes * np.repeat(lengths, lengths)), sizes)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        return buckets, share.astype(np.float32), (ends - sizes)[first]
+        self.words = np.array([vocabulary.setdefault(w, len(vocabulary)) for window in found for w in window])
+        self.lengths = np.array([len(window) for window in found])
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        owner, flat = grams(list(vocabulary), buckets)
+        self.flat = flat[np.argsort(owner, kind="stable")]
+        self.sizes = np.bincount(owner, minlength=len(vocabulary))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def means(self, weights: np.ndarray) -> np.ndarray:
+        """Mean weight of every window; words that a short window lacks weigh nothing."""
+        words = np.add.reduceat(weights[self.flat], self.starts) / self.sizes
+        return np.add.reduceat(words[self.words], self.firsts) / self.size
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of every span, end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
 
 
 def sigmoid(x):
@@ -99,47 +119,56 @@ def sigmoid(x):
 
 
 class Trainer:
+    """Embeddings and softmax, moved together by stochastic gradients of adaptive size."""
+
     def __init__(self, bags: Bags, settings: Settings):
         self.bags, self.s = bags, settings
         self.random = np.random.default_rng(settings.seed)
         self.table = self.random.normal(0, 0.1, (settings.buckets, settings.dimensions)).astype(np.float32)
-        self.softmax = self.random.normal(0, 0.1, (settings.dimensions, 2)).astype(np.float32)
+        self.softmax = np.zeros((settings.dimensions, 2), np.float32)
+        self.softmax[:, 1] = self.random.normal(0, 0.5, settings.dimensions)
         self.bias = np.zeros(2, np.float32)
-        self.table_seen = np.full(settings.buckets, 1e-6, np.float32)
+        self.seen = np.full(settings.buckets, 1e-8)
 
-    def logits(self, chosen: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0)]
-        for at in range(0, len(chosen), 4096):
-            buckets, share, starts = self.bags.gather(chosen[at : at + 4096])
-            weights = self.table @ (self.softmax[:, 1] - self.softmax[:, 0])
-            out.append(np.add.reduceat(weights[buckets] * share, starts) + self.bias[1] - self.bias[0])
-        return np.concatenate(out)
+    def weights(self) -> np.ndarray:
+        """What each bucket adds to the logit of the toxic class."""
+        return self.table @ (self.softmax[:, 1] - self.softmax[:, 0])
+
+    def logits(self) -> np.ndarray:
+        return self.bags.means(self.weights()) + self.bias[1] - self.bias[0]
 
     def step(self, chosen: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
-        buckets, share, starts = self.bags.gather(chosen)
-        means = np.add.reduceat(self.table[buckets] * share[:, None], starts)
+        bags, lengths = self.bags, self.bags.lengths[chosen]
+        words, place = np.unique(bags.words[spans(bags.firsts[chosen], lengths)], return_inverse=True)
+        sizes = bags.sizes[words]
+        buckets = bags.flat[spans(bags.starts[words], sizes)]
+        word_starts, starts = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+        vectors = np.add.reduceat(self.table[buckets], word_starts) / sizes[:, None]
+        means = np.add.reduceat(vectors[place], starts) / bags.size
         scores = means @ self.softmax + self.bias
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         error = scores / scores.sum(axis=1, keepdims=True)
         error[np.arange(len(chosen)), target] -= 1
         error *= weight[:, None]
-        down = error @ self.softmax.T
-        self.softmax -= self.s.rate * means.T @ error / len(chosen)
-        self.bias -= self.s.rate * error.sum(axis=0) / len(chosen)
-        counts = np.diff(np.append(starts, len(buckets)))
-        gradient = np.repeat(down, counts, axis=0) * share[:, None]
-        used, place = np.unique(buckets, return_inverse=True)
-        summed = np.stack([np.bincount(place, gradient[:, d], len(used)) for d in range(gradient.shape[1])], axis=1)
-        self.table_seen[used] += (summed * summed).mean(axis=1)
-        self.table[used] -= (self.s.rate * summed / np.sqrt(self.table_seen[used])[:, None]).astype(np.float32)
+        down = (error @ self.softmax.T) / bags.size
+        self.softmax -= (self.s.rate * means.T @ error / len(chosen)).astype(np.float32)
+        self.bias -= (self.s.rate * error.mean(axis=0)).astype(np.float32)
+        window = np.repeat(np.arange(len(chosen)), lengths)
+        used, where = np.unique(buckets, return_inverse=True)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        summed = np.empty((len(used), down.shape[1]))
+        for d in range(down.shape[1]):
+            word = np.bincount(place, down[window, d], len(words)) / sizes
+            summed[:, d] = np.bincount(where, word[owner], len(used))
+        self.seen[used] += (summed * summed).mean(axis=1)
+        self.table[used] -= (self.s.rate * summed / np.sqrt(self.seen[used])[:, None]).astype(np.float32)
 
     def run(self, chosen: np.ndarray, target: np.ndarray) -> None:
         weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6))
-        for _ in range(self.s.epochs):
-            order = self.random.permutation(len(chosen))
-            for at in range(0, len(order), self.s.batch):
-                now = order[at : at + self.s.batch]
-                self.step(chosen[now], target[now], weight[now])
+        order = self.random.permutation(len(chosen))
+        for at in range(0, len(order), self.s.batch):
+            now = order[at : at + self.s.batch]
+            self.step(chosen[now], target[now], weight[now])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -162,22 +191,22 @@ def fit(rows: list[tuple[int, list[list[str]]]], toxic_share: float, settings: S
     if len(set(labels.tolist())) < 2:
         return None
     owner = np.repeat(np.arange(len(rows)), [len(found) for _, found in rows])
-    trainer = Trainer(Bags([w for _, found in rows for w in found], settings.buckets), settings)
-    every, target = np.arange(len(owner)), labels[owner]
-    trainer.run(every, target)
-    for _ in range(2):
-        # of a toxic document only the likeliest windows: the first tenth, one at least
-        scores = trainer.logits(every)
-        keep = target == 0
-        for rank in np.split(np.lexsort((-scores, owner)), np.cumsum(np.bincount(owner))[:-1]):
-            if labels[owner[rank[0]]]:
-                keep[rank[: max(1, len(rank) // 10)]] = True
-        trainer.run(every[keep], target[keep])
-    best = np.maximum.reduceat(trainer.logits(every), np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1]))
+    trainer = Trainer(Bags([w for _, found in rows for w in found], settings.buckets, settings.window_words), settings)
+    target = labels[owner]
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+    some = trainer.random.random(len(owner)) < 10 / np.bincount(owner)[owner]
+    for round_ in range(settings.rounds):
+        # at first every window of a toxic document, then its likeliest tenth; of others, their likeliest and a few
+        place = np.lexsort((-trainer.logits(), owner))
+        rank = np.empty(len(owner), int)
+        rank[place] = np.arange(len(owner)) - np.repeat(firsts, np.bincount(owner))
+        likely = rank < np.maximum(1, np.bincount(owner)[owner] // 10)
+        chosen = np.flatnonzero(np.where(target == 1, likely | (round_ < 2), some | (likely & (round_ > 1))))
+        trainer.run(chosen, target[chosen])
+    best = np.maximum.reduceat(trainer.logits(), firsts)
     weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
     slope, shift = logistic(best, labels, weight)
-    difference = trainer.softmax[:, 1] - trainer.softmax[:, 0]
-    return Model(trainer.table @ difference, float(trainer.bias[1] - trainer.bias[0]), slope, shift)
+    return Model(trainer.weights(), float(trainer.bias[1] - trainer.bias[0]), slope, shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model | None:
@@ -199,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         for batch in batches:
             out = []
             for text in texts(batch):
-                found = windows(WORD.findall(text.lower()), size)
+                found = windows(text, size)
                 step = max(1, -(-len(found) // most))
                 out.append([" ".join(window) for window in found[::step]])
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string())]
@@ -219,27 +248,28 @@ def score(docs: DataFrame, model: Model | None, settings: Settings | None = None
     settings = settings or Settings()
     size, buckets = settings.window_words, settings.buckets
 
+    def learn(known: dict[str, float], words: set[str]) -> None:
+        new = words - known.keys()
+        if len(known) + len(new) > 400_000:
+            known.clear()
+            new = words
+        owner, flat = grams(list(new), buckets)
+        sums = np.bincount(owner, model.weights[flat], len(new)) / np.bincount(owner, minlength=len(new))
+        known.update(zip(new, sums.tolist(), strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-
-        def likeliest(text: str) -> float:
-            words = WORD.findall(text.lower())
-            if not words:
-                return model.bias
-            for word in set(words) - known.keys():
-                known[word] = float(model.weights[grams(word, buckets)].mean())
-            values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            starts = np.arange(0, len(words), size)
-            means = np.add.reduceat(values, starts) / np.diff(np.append(starts, len(words)))
-            return float(means.max()) + model.bias
-
         for batch in batches:
-            out = []
-            for text in texts(batch):
-                if len(known) > 300_000:
-                    known.clear()
-                out.append(float(sigmoid(model.slope * likeliest(text) + model.shift)) if model else 0.0)
-            yield batched(["doc_id", "score"], [pa.int64(), pa.float64()], [batch.column("doc_id"), out])
+            whole, doc_ids = texts(batch), batch.column("doc_id").to_pylist()
+            for at in range(0, len(whole), 256):
+                found = [windows(text, size) for text in whole[at : at + 256]]
+                scores = [0.0] * len(found)
+                if model:
+                    learn(known, {word for own in found for window in own for word in window})
+                    best = [max([sum(map(known.__getitem__, w)) for w in own], default=0.0) for own in found]
+                    logit = np.array(best) / size + model.bias
+                    scores = sigmoid(model.slope * logit + model.shift).tolist()
+                yield batched(["doc_id", "score"], [pa.int64(), pa.float64()], [doc_ids[at : at + 256], scores])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
