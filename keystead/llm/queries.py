@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keystead.llm import toxicity
 from keystead.llm.common import held_out, table
+from keystead.llm.decontaminate import contaminated
 from keystead.llm.exact_dedup import exact_groups
 from keystead.llm.packing import pack
 from keystead.llm.token_counts import token_counts
@@ -75,6 +76,10 @@ GROUP BY n, page_id, host, path
 """
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
