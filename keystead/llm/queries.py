@@ -12,6 +12,7 @@ from keystead.llm import toxicity
 from keystead.llm.common import held_out, table
 from keystead.llm.decontaminate import contaminated
 from keystead.llm.exact_dedup import exact_groups
+from keystead.llm.jaccard_join import near_classes
 from keystead.llm.packing import pack
 from keystead.llm.token_counts import token_counts
 from keystead.llm.url_filter import filter_urls
@@ -80,6 +81,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_classes(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
