@@ -6,8 +6,8 @@ texts that share a hash are never merged.
 
 Defined cases: a null text is the empty text, and empty texts are equal. Rows
 without an id are judged like others but stay only where no row of the group
-has one. Rows that repeat both id and text are one document and are all marked
-kept. Columns other than id and text are not read. An empty table gives an
+has one, and then all of them. Rows that repeat both id and text are one document
+and are all marked kept. Columns other than id and text are not read. An empty table gives an
 empty result.
 """
 
@@ -75,6 +75,12 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", hash_of=content_hash)
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The documents that stay, with all their columns. Documents without an id stay if a group has no other."""
-    stays = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    """The documents that stay, with all their columns.
+
+    Only the ids and digests of those that go are joined with the documents.
+    """
+    gone = exact_groups(docs, keep).where(~F.col("kept")).select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
+    )
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keystead.llm import lm_score, toxicity
 from keystead.llm.chat_format import digests, format_trees, turn_messages
 from keystead.llm.common import held_out, table
@@ -131,7 +132,8 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -243,12 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     return fit([(toxic, [w.split(" ") for w in found]) for _, toxic, found in rows], share, settings)
 
 
-def score(docs: DataFrame, model: Model | None, settings: Settings | None = None) -> DataFrame:
-    """doc_id and score (0 to 1) of every document, from all its words."""
-    settings = settings or Settings()
+def scorer(model: Model | None, settings: Settings):
+    """A function from texts to scores, with a bounded memory of word weights."""
     size, buckets = settings.window_words, settings.buckets
+    known: dict[str, float] = {}
 
-    def learn(known: dict[str, float], words: set[str]) -> None:
+    def learn(words: set[str]) -> None:
         new = words - known.keys()
         if len(known) + len(new) > 400_000:
             known.clear()
@@ -257,23 +257,43 @@ def score(docs: DataFrame, model: Model | None, settings: Settings | None = None
         sums = np.bincount(owner, model.weights[flat], len(new)) / np.bincount(owner, minlength=len(new))
         known.update(zip(new, sums.tolist(), strict=True))
 
+    def scores(many: list[str]) -> list[float]:
+        if model is None:
+            return [0.0] * len(many)
+        found = [windows(text, size) for text in many]
+        learn({word for own in found for window in own for word in window})
+        best = [max([sum(map(known.__getitem__, window)) for window in own], default=0.0) for own in found]
+        logit = np.array(best) / size + model.bias
+        return sigmoid(model.slope * logit + model.shift).tolist()
+
+    def in_parts(many: list[str]) -> list[float]:
+        return [x for at in range(0, len(many), 256) for x in scores(many[at : at + 256])]
+
+    return in_parts
+
+
+def score(docs: DataFrame, model: Model | None, settings: Settings | None = None) -> DataFrame:
+    """doc_id and score (0 to 1) of every document, from all its words."""
+    settings = settings or Settings()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scores = scorer(model, settings)
         for batch in batches:
-            whole, doc_ids = texts(batch), batch.column("doc_id").to_pylist()
-            for at in range(0, len(whole), 256):
-                found = [windows(text, size) for text in whole[at : at + 256]]
-                scores = [0.0] * len(found)
-                if model:
-                    learn(known, {word for own in found for window in own for word in window})
-                    best = [max([sum(map(known.__getitem__, w)) for w in own], default=0.0) for own in found]
-                    logit = np.array(best) / size + model.bias
-                    scores = sigmoid(model.slope * logit + model.shift).tolist()
-                yield batched(["doc_id", "score"], [pa.int64(), pa.float64()], [doc_ids[at : at + 256], scores])
+            found = scores(texts(batch))
+            yield batched(["doc_id", "score"], [pa.int64(), pa.float64()], [batch.column("doc_id"), found])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
-    """Train on the labelled documents and score all documents."""
-    return score(docs, train(docs if train_docs is None else train_docs, labels))
+def drop_toxic(
+    docs: DataFrame, model: Model | None, threshold: float = 0.7, settings: Settings | None = None
+) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    settings = settings or Settings()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer(model, settings)
+        for batch in batches:
+            yield batch.filter(pa.array([x < threshold for x in scores(texts(batch))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
