@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystead.storage import materialise
+from keystead.storage import discard, materialise
 
-__all__ = ["batched", "components", "held_out", "materialise", "table", "texts"]
+__all__ = ["batched", "components", "discard", "held_out", "materialise", "table", "texts"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
