@@ -7,7 +7,7 @@ embeddings and softmax are trained together in numpy. Only documents are
 labelled, and few of a toxic document's windows are toxic: training starts with
 all windows under their document's label and goes on with only the likeliest
 windows of toxic documents. A document's score is that of its likeliest window,
-brought to a probability by a logistic fit, so a long text hides nothing.
+brought to a probability by a logistic fit on sampled documents kept from training, so a long text hides nothing.
 
 Training uses at most ``documents`` labelled rows, half of them toxic if there
 are so many, and at most ``windows`` evenly spaced windows of each.
@@ -40,11 +40,14 @@ class Settings:
     documents: int = 6000
     windows: int = 100
     window_words: int = 12
-    buckets: int = 1 << 16
+    buckets: int = 1 << 18
+    least_documents: int = 4
+    apart_from: int = 200
     dimensions: int = 8
     rounds: int = 8
-    batch: int = 512
-    rate: float = 0.2
+    batch: int = 128
+    steps: int = 400
+    rate: float = 0.5
     seed: int = 7
 
 
@@ -102,6 +105,14 @@ class Bags:
         self.sizes = np.bincount(owner, minlength=len(vocabulary))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def spread(self, owner: np.ndarray, buckets: int) -> np.ndarray:
+        """In how many documents each bucket occurs. owner: the document of each window."""
+        held = np.unique(np.repeat(owner, self.lengths) * len(self.sizes) + self.words)
+        word = held % len(self.sizes)
+        document = np.repeat(held // len(self.sizes), self.sizes[word])
+        used = self.flat[spans(self.starts[word], self.sizes[word])].astype(np.int64)
+        return np.bincount(np.unique(document * buckets + used) % buckets, minlength=buckets)
+
     def means(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight of every window; words that a short window lacks weigh nothing."""
         words = np.add.reduceat(weights[self.flat], self.starts) / self.sizes
@@ -121,10 +132,11 @@ def sigmoid(x):
 class Trainer:
     """Embeddings and softmax, moved together by stochastic gradients of adaptive size."""
 
-    def __init__(self, bags: Bags, settings: Settings):
-        self.bags, self.s = bags, settings
+    def __init__(self, bags: Bags, settings: Settings, usable: np.ndarray):
+        self.bags, self.s, self.usable = bags, settings, usable
         self.random = np.random.default_rng(settings.seed)
-        self.table = self.random.normal(0, 0.1, (settings.buckets, settings.dimensions)).astype(np.float32)
+        # what is never trained stays zero and weighs nothing
+        self.table = np.zeros((settings.buckets, settings.dimensions), np.float32)
         self.softmax = np.zeros((settings.dimensions, 2), np.float32)
         self.softmax[:, 1] = self.random.normal(0, 0.5, settings.dimensions)
         self.bias = np.zeros(2, np.float32)
@@ -160,15 +172,19 @@ class Trainer:
         for d in range(down.shape[1]):
             word = np.bincount(place, down[window, d], len(words)) / sizes
             summed[:, d] = np.bincount(where, word[owner], len(used))
+        summed *= self.usable[used, None]
         self.seen[used] += (summed * summed).mean(axis=1)
         self.table[used] -= (self.s.rate * summed / np.sqrt(self.seen[used])[:, None]).astype(np.float32)
 
     def run(self, chosen: np.ndarray, target: np.ndarray) -> None:
         weight = np.where(target == 1, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6))
-        order = self.random.permutation(len(chosen))
-        for at in range(0, len(order), self.s.batch):
-            now = order[at : at + self.s.batch]
-            self.step(chosen[now], target[now], weight[now])
+        batch = min(self.s.batch, max(16, len(chosen) // 40))
+        # few windows are gone through more often, so that they make as many steps
+        for _ in range(max(1, round(self.s.steps * batch / len(chosen)))):
+            order = self.random.permutation(len(chosen))
+            for at in range(0, len(order), batch):
+                now = order[at : at + batch]
+                self.step(chosen[now], target[now], weight[now])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -191,8 +207,14 @@ def fit(rows: list[tuple[int, list[list[str]]]], toxic_share: float, settings: S
     if len(set(labels.tolist())) < 2:
         return None
     owner = np.repeat(np.arange(len(rows)), [len(found) for _, found in rows])
-    trainer = Trainer(Bags([w for _, found in rows for w in found], settings.buckets, settings.window_words), settings)
+    bags = Bags([w for _, found in rows for w in found], settings.buckets, settings.window_words)
+    trainer = Trainer(bags, settings, bags.spread(owner, settings.buckets) >= settings.least_documents)
     target = labels[owner]
+    # every fourth document of either label is kept from training, for the fit to probabilities; with few, none
+    apart = np.zeros(len(rows), bool)
+    for label in (0, 1):
+        if labels.sum() >= settings.apart_from:
+            apart[np.flatnonzero(labels == label)[3::4]] = True
     firsts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
     some = trainer.random.random(len(owner)) < 10 / np.bincount(owner)[owner]
     for round_ in range(settings.rounds):
@@ -201,9 +223,12 @@ def fit(rows: list[tuple[int, list[list[str]]]], toxic_share: float, settings: S
         rank = np.empty(len(owner), int)
         rank[place] = np.arange(len(owner)) - np.repeat(firsts, np.bincount(owner))
         likely = rank < np.maximum(1, np.bincount(owner)[owner] // 10)
-        chosen = np.flatnonzero(np.where(target == 1, likely | (round_ < 2), some | (likely & (round_ > 1))))
+        chosen = np.where(target == 1, likely | (round_ < 2), some | (likely & (round_ > 1)))
+        chosen = np.flatnonzero(chosen & ~apart[owner])
         trainer.run(chosen, target[chosen])
     best = np.maximum.reduceat(trainer.logits(), firsts)
+    fitted = apart if len(set(labels[apart].tolist())) == 2 else np.ones(len(rows), bool)
+    best, labels = best[fitted], labels[fitted]
     weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
     slope, shift = logistic(best, labels, weight)
     return Model(trainer.weights(), float(trainer.bias[1] - trainer.bias[0]), slope, shift)
