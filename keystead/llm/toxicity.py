@@ -21,8 +21,8 @@ each; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,24 +94,40 @@ class Model:
 class Bags:
     """Words of many windows, and the buckets of each distinct word, laid end to end."""
 
-    def __init__(self, found: list[list[str]], buckets: int, size: int):
-        self.size = size
+    def __init__(self, rows: Iterable[tuple[int, list[str]]], buckets: int, size: int):
         vocabulary: dict[str, int] = {}
-        self.words = np.array([vocabulary.setdefault(w, len(vocabulary)) for window in found for w in window])
-        self.lengths = np.array([len(window) for window in found])
+        words, lengths, owner, labels = array("i"), array("i"), array("i"), []
+        for label, found in rows:
+            for window in found:
+                own = window.split(" ")
+                words.extend([vocabulary.setdefault(word, len(vocabulary)) for word in own])
+                lengths.append(len(own))
+                owner.append(len(labels))
+            if found:
+                labels.append(label)
+        self.size, self.labels = size, np.array(labels)
+        self.words, self.lengths, self.owner = (np.array(x, np.int64) for x in (words, lengths, owner))
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        owner, flat = grams(list(vocabulary), buckets)
-        self.flat = flat[np.argsort(owner, kind="stable")]
-        self.sizes = np.bincount(owner, minlength=len(vocabulary))
+        distinct, flats, sizes = list(vocabulary), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(distinct), 20_000):
+            of, flat = grams(distinct[at : at + 20_000], buckets)
+            flats.append(flat[np.argsort(of, kind="stable")])
+            sizes.append(np.bincount(of))
+        self.flat, self.sizes = np.concatenate(flats), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def spread(self, owner: np.ndarray, buckets: int) -> np.ndarray:
-        """In how many documents each bucket occurs. owner: the document of each window."""
-        held = np.unique(np.repeat(owner, self.lengths) * len(self.sizes) + self.words)
-        word = held % len(self.sizes)
-        document = np.repeat(held // len(self.sizes), self.sizes[word])
-        used = self.flat[spans(self.starts[word], self.sizes[word])].astype(np.int64)
-        return np.bincount(np.unique(document * buckets + used) % buckets, minlength=buckets)
+    def spread(self, buckets: int) -> np.ndarray:
+        """In how many documents each bucket occurs."""
+        out = np.zeros(buckets, np.int64)
+        each = np.repeat(self.owner, self.lengths)
+        for first in range(0, len(self.labels), 50):
+            lo, hi = np.searchsorted(each, [first, first + 50])
+            held = np.unique((each[lo:hi] - first) * len(self.sizes) + self.words[lo:hi])
+            word = held % len(self.sizes)
+            document = np.repeat(held // len(self.sizes), self.sizes[word])
+            used = self.flat[spans(self.starts[word], self.sizes[word])]
+            out += np.bincount(np.unique(document * buckets + used) % buckets, minlength=buckets)
+        return out
 
     def means(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight of every window; words that a short window lacks weigh nothing."""
@@ -200,18 +216,16 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(a / spread), float(b - a * middle / spread)
 
 
-def fit(rows: list[tuple[int, list[list[str]]]], toxic_share: float, settings: Settings) -> Model | None:
-    """rows: label and windows of words of each sampled document. toxic_share: of all labelled rows."""
-    rows = [(label, found) for label, found in rows if found]
-    labels = np.array([label for label, _ in rows])
+def fit(rows: Iterable[tuple[int, list[str]]], toxic_share: float, settings: Settings) -> Model | None:
+    """rows: label and windows, words joined by spaces, of each sampled document. toxic_share: of all labelled rows."""
+    bags = Bags(rows, settings.buckets, settings.window_words)
+    labels, owner = bags.labels, bags.owner
     if len(set(labels.tolist())) < 2:
         return None
-    owner = np.repeat(np.arange(len(rows)), [len(found) for _, found in rows])
-    bags = Bags([w for _, found in rows for w in found], settings.buckets, settings.window_words)
-    trainer = Trainer(bags, settings, bags.spread(owner, settings.buckets) >= settings.least_documents)
+    trainer = Trainer(bags, settings, bags.spread(settings.buckets) >= settings.least_documents)
     target = labels[owner]
     # every fourth document of either label is kept from training, for the fit to probabilities; with few, none
-    apart = np.zeros(len(rows), bool)
+    apart = np.zeros(len(labels), bool)
     for label in (0, 1):
         if labels.sum() >= settings.apart_from:
             apart[np.flatnonzero(labels == label)[3::4]] = True
@@ -227,7 +241,7 @@ def fit(rows: list[tuple[int, list[list[str]]]], toxic_share: float, settings: S
         chosen = np.flatnonzero(chosen & ~apart[owner])
         trainer.run(chosen, target[chosen])
     best = np.maximum.reduceat(trainer.logits(), firsts)
-    fitted = apart if len(set(labels[apart].tolist())) == 2 else np.ones(len(rows), bool)
+    fitted = apart if len(set(labels[apart].tolist())) == 2 else np.ones(len(labels), bool)
     best, labels = best[fitted], labels[fitted]
     weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
     slope, shift = logistic(best, labels, weight)
@@ -265,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     rows = chosen.mapInArrow(cut, "doc_id long, toxic long, windows array<string>").collect()
     rows = sorted(((r["doc_id"], r["toxic"], r["windows"]) for r in rows), key=lambda r: (r[0], r[2]))
     share = total.get(1, 0) / max(1, sum(total.values()))
-    return fit([(toxic, [w.split(" ") for w in found]) for _, toxic, found in rows], share, settings)
+    return fit(((toxic, found) for _, toxic, found in rows), share, settings)
 
 
 def scorer(model: Model | None, settings: Settings):
