@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -59,28 +60,46 @@ def count_matrix(df: DataFrame, text: str = "furnishDetails") -> DataFrame:
     return df.withColumn("items", items).withColumn("counts", counts).drop("items")
 
 
-def furnishing_levels(df: DataFrame, k: int = 3, seed: int = 42, text: str = "furnishDetails") -> DataFrame:
+def furnishing_levels(
+    df: DataFrame, k: int = 3, seed: int = 42, text: str = "furnishDetails", starts: int = 10
+) -> DataFrame:
     """Adds ``furnishing_type``: clusters of the item counts, 0 = barest (A-M5).
 
     Clusters are numbered by the sum of their centre, so that a higher number
     means more furnishing; rows are clustered by distinct text first because
-    equal texts have equal counts.
+    equal texts have equal counts. The best of ``starts`` starts is taken. Without
+    any item every level is 0.
     """
-    texts = df.groupBy(text).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    details = F.coalesce(F.col(text), F.lit(""))
+    texts = df.groupBy(details.alias(text)).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     counted = materialise(count_matrix(texts, text), "furnish-counts")
     width = counted.select(F.max(F.size("counts"))).first()[0] or 0
-    if width == 0 or counted.count() < k:
+    if width == 0:
         return df.withColumn("furnishing_type", F.lit(0))
-    scaled = _weighted_scores(counted).withColumn("features", array_to_vector("counts"))
-    model = KMeans(k=k, seed=seed, weightCol="weight", maxIter=50).fit(scaled)
+    scaled = materialise(_weighted_scores(counted).withColumn("features", array_to_vector("counts")), "furnish-scores")
+    # no more clusters than different texts, so that few texts still get levels
+    k = min(k, counted.count())
+    if k == 1:  # one text: one cluster, number 0
+        return df.withColumn("furnishing_type", F.lit(0))
+
+
+    def fit(start: int):
+        return KMeans(k=k, seed=seed + start, weightCol="weight", maxIter=50).fit(scaled)
+
+    with ThreadPool(4) as pool:  # the starts are independent jobs
+        fits = pool.map(fit, range(starts))
+    model = min(fits, key=lambda fit: fit.summary.trainingCost)
     by_mass = sorted(range(len(model.clusterCenters())), key=lambda i: float(model.clusterCenters()[i].sum()))
     rank = F.array(*[F.lit(by_mass.index(i)) for i in range(len(by_mass))])
     levels = PipelineModel([model]).transform(scaled).select(
-        F.coalesce(F.col(text), F.lit("")).alias("details"),
-        F.get(rank, F.col("prediction")).alias("furnishing_type"),
+        F.col(text).alias("details"), F.get(rank, F.col("prediction")).alias("level")
     )
-    keyed = df.withColumn("details", F.coalesce(F.col(text), F.lit("")))
-    return lookup_join(keyed, levels, ["details"]).drop("details")
+    # listings without a text all have one level, which needs no join
+    bare = levels.where(F.col("details") == "").agg(F.max("level")).scalar()
+    keyed = df.withColumn("details", F.when(details != "", details))
+    found = lookup_join(keyed, levels.where(F.col("details") != ""), ["details"])
+    level = F.when(F.col("details").isNull(), bare).otherwise(F.col("level"))
+    return found.withColumn("furnishing_type", level).drop("details", "level")
 
 
 def _weighted_scores(texts: DataFrame) -> DataFrame:

@@ -116,10 +116,12 @@ def marker_style(df: DataFrame, metric: str) -> DataFrame:
     }).drop("bounds", "share")
 
 
-def sector_map(df: DataFrame, gazetteer: DataFrame, metric: str = "price", max_points: int = 1500) -> DataFrame:
-    """Sectors with coordinates, marker size and colour."""
+def sector_map(df: DataFrame, gazetteer: DataFrame, metric: str = "price", max_points: int | None = None) -> DataFrame:
+    """Sectors with coordinates, marker size and colour; the first ``max_points`` if given."""
     placed = add_coords(sector_profile(df), gazetteer).dropna(subset=["lat", "lon"])
-    return marker_style(placed.orderBy("sector").limit(max_points), metric)
+    if max_points is not None:
+        placed = placed.orderBy("sector").limit(max_points)
+    return marker_style(placed, metric)
 
 
 def map_centre(points: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from keystead.operators.outline import choose, first, with_elements
 from keystead.operators.recover import recover
 from keystead.operators.rows import first_per_key
 from keystead.schemas import HOUSE_RENAMES, LAND_TEXTS, RAW_TEXTS
+from keystead.sources.tables import unseen
 from keystead.storage import materialise
 
 # Phrases and status codes of a refused page.
@@ -178,18 +179,20 @@ def cards(pages: DataFrame, site: str) -> DataFrame:
     )
 
 
-def new_cards(found: DataFrame) -> DataFrame:
-    """The first card of every property id, in page and place order."""
+def new_cards(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The first card of every property id, in page and place order, without ids stored before."""
+    if known is not None:
+        found = unseen(found, known)
     ordered = found.withColumn("order", F.struct("page_id", "pos"))
     return first_per_key(ordered, ["property_id"], "order").drop("order")
 
 
 def details(pages: DataFrame) -> DataFrame:
-    """Listing fields of every detail page, keyed by ``link`` (H1-H4)."""
+    """Listing fields of every detail page, keyed by ``link``; of pages stored twice the first counts (H1-H4)."""
     wanted = [f"#{i}" for i in DETAIL_IDS.values()]
     wanted += [f".{NEARBY_ITEM}", f".{RATING}", "li"]
     blocks = [f".{NEARBY}", f"#{FURNISHING}", f"#{FEATURES}"]
-    parsed = with_elements(pages.select(F.col("url").alias("link"), "html"), wanted, blocks)
+    parsed = with_elements(pages.select("page_id", F.col("url").alias("link"), "html"), wanted, blocks)
     e = F.col("elements")
     fields = {name: text_of(first(choose(e, id=i))) for name, i in DETAIL_IDS.items()}
     nearby = items_of(e, first(choose(e, tag="div", cls=NEARBY)), tag="span", cls=NEARBY_ITEM)
@@ -202,7 +205,8 @@ def details(pages: DataFrame) -> DataFrame:
         "rating": F.transform(choose(e, tag="div", cls=RATING, path=RATING_PATH), lambda x: x["text"]),
     })
     block = F.get(feature_blocks, F.when(F.size("furnishDetails") > 0, F.lit(1)).otherwise(F.lit(0)))
-    return step.withColumn("block", block).withColumn("features", items_of(e, F.col("block"), tag="li")).drop("elements", "block")
+    found = step.withColumn("block", block).withColumn("features", items_of(e, F.col("block"), tag="li"))
+    return first_per_key(found.drop("elements", "block", "html"), ["link"], "page_id").drop("page_id")
 
 
 def merge_cards(found: DataFrame, detail: DataFrame) -> DataFrame:
@@ -234,11 +238,16 @@ def land_shape(listings: DataFrame) -> DataFrame:
 KINDS = {"flats": None, "apartments": None, "houses": house_shape, "land": land_shape}
 
 
-def listings_from_pages(pages: DataFrame, kind: str, site: str) -> DataFrame:
-    """Raw listings of one kind from search and detail pages."""
+def listings_from_pages(pages: DataFrame, kind: str, site: str, known: DataFrame | None = None) -> DataFrame:
+    """Raw listings of one kind from search and detail pages.
+
+    Only pages that a card links to are parsed as detail pages; cards whose id
+    is among ``known`` (a table with property_id) are left out before that.
+    """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {sorted(KINDS)}")
-    found = materialise(new_cards(cards(pages, site)), "cards")
-    listings = merge_cards(found, details(pages))
+    found = materialise(new_cards(cards(pages, site), known), "cards")
+    linked = pages.join(found.select(F.col("link").alias("url")), "url", "left_semi")
+    listings = merge_cards(found, details(linked))
     shape = KINDS[kind]
     return listings if shape is None else shape(listings)

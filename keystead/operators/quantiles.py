@@ -2,9 +2,8 @@
 
 ``median`` and ``percentile`` keep every distinct value of a group in one task.
 Here equal values of a group are counted first, on (group, value), so a hot
-value or a hot group is already reduced before the shuffle. If the counts are
-few (their number is checked), each group is ordered as it is. Beyond that no
-task holds more than a narrow band of one group:
+value or a hot group is already reduced before the shuffle. No task then
+holds more than a narrow band of one group, whatever the size of the table:
 
 1. values are put into bands of about 0.1 % relative width, and the running
    total over the bands of a group tells which band holds each wanted rank;
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 from keystead.storage import lookup_join, materialise
 
-DIRECT_LIMIT = 1_000_000  # distinct (group, value) pairs up to which groups are ordered directly
 COARSE = 1024.0
 FINE = 65536.0
 TARGET = ["out", "low_rank", "high_rank", "part"]
@@ -49,11 +47,7 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
         .groupBy(*group, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = materialise(counts, "value-counts")
-    if counts.count() <= DIRECT_LIMIT:
-        ranked = _holders(counts, group, "v", wanted)
-    else:
-        ranked = _holders_by_bands(counts, group, wanted)
+    ranked = _holders_by_bands(materialise(counts, "value-counts"), group, wanted)
 
     def at(rank: str) -> Column:
         return F.max(F.when(_holds(rank), F.col("v")))

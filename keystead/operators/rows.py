@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystead.functions.text import is_blank
-from keystead.storage import lookup_join
+from keystead.storage import lookup_join, materialise
 
 CORE_TEXTS = ["price", "bedRoom", "areaWithType"]
 
@@ -56,6 +56,13 @@ def frequent_groups(df: DataFrame, key: str, at_least: int = 3) -> DataFrame:
     return lookup_join(df, large, [key], "left_semi")
 
 
+def with_group_size(df: DataFrame, key: str, name: str = "group_size") -> DataFrame:
+    """Rows with the number of rows of their group; a null key has its own group."""
+    sizes = df.groupBy(F.col(key).alias("size_of")).agg(F.count(F.lit(1)).alias(name))
+    sizes = materialise(sizes, "group-sizes")
+    return df.join(sizes, F.col(key).eqNullSafe(F.col("size_of")), "left").drop("size_of")
+
+
 def select_listings(
     df: DataFrame,
     city: str | None = None,

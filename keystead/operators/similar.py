@@ -143,7 +143,7 @@ def similar_to_each(
     labels = [c for c in CATEGORICAL + LOCATION if c in df.columns]
     scored = materialise(
         with_scores(df).select(
-            "listing_id", "z.*", "norm", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in labels]
+            "listing_id", "z.*", "norm", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in labels]
         ),
         "scored",
     )

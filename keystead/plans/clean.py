@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,11 @@ def merge(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumns({c: tx.missing_to_null(F.col(c)) for c in STAGE_TEXTS if c in cleaned.columns})
 
 
+def merge_sources(parts: list[DataFrame]) -> DataFrame:
+    """Cleaned tables of several sources as one, columns by name, as the next stage sees them."""
+    return merge(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
 def source_counts(df: DataFrame) -> DataFrame:
     """Rows per city and property type."""
     return df.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("n"))
@@ -102,7 +109,8 @@ def clean_funnel(raw: DataFrame) -> DataFrame:
     per_source = with_facts(raw).groupBy(*SOURCE).agg(
         F.count(F.lit(1)).alias("rows_read"), F.count_if(~core).alias("dropped_empty")
     )
-    unique = deduplicated(typed_listings(raw)).select(*SOURCE, *CORE)
+    # only what is counted goes through the de-duplication
+    unique = deduplicated(typed_listings(raw).select("listing_id", "property_id", *SOURCE, *CORE)).select(*SOURCE, *CORE)
     lacking = F.col("price").isNull() | F.col("bedRoom").isNull() | F.col("area").isNull()
     kept = unique.groupBy(*SOURCE).agg(
         F.count(F.lit(1)).alias("unique_rows"), F.count_if(lacking).alias("dropped_core")

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
@@ -22,6 +24,7 @@ ENCODED = ["sector", "agePossession"]
 UNUSED = ["store room", "floor_category", "balcony"]
 NUMBERS = ["property_type", "bedRoom", "bathroom", "built_up_area", "servant room", "furnishing_type", "luxury_category"]
 NORMAL_LIMIT = 4096  # features that the normal equations of MLlib take
+TOLERANCE, STEPS = 1e-10, 2000  # of the iterative solver
 
 
 @dataclass
@@ -67,9 +70,13 @@ def encoded_rows(
     return materialise(vectors, "driver-rows"), feature_names(encoder, encoded, numbers)
 
 
-def _regression(names: list[str], penalty: float = 0.0) -> LinearRegression:
-    solver = "normal" if len(names) <= NORMAL_LIMIT else "l-bfgs"
-    return LinearRegression(solver=solver, regParam=penalty, elasticNetParam=0.0, standardization=True)
+def _regression(names: list[str], penalty: float = 0.0, solver: str = "normal") -> LinearRegression:
+    """The solver is the caller's choice; one that cannot take so many features is an error."""
+    if solver == "normal" and len(names) > NORMAL_LIMIT:
+        raise ValueError(f"{len(names)} features are too many for the normal equations: pass solver='l-bfgs'")
+    return LinearRegression(
+        solver=solver, regParam=penalty, elasticNetParam=0.0, standardization=True, tol=TOLERANCE, maxIter=STEPS
+    )
 
 
 def fit_drivers(
@@ -78,6 +85,7 @@ def fit_drivers(
     alpha: float = 1e-4,
     numbers: list[str] = NUMBERS,
     encoded: list[str] = ENCODED,
+    solver: str = "normal",
 ) -> DriverModel:
     """Ridge on standardised features; ``alpha`` 0 gives least squares (A-M10).
 
@@ -90,7 +98,7 @@ def fit_drivers(
     stats = rows.agg(metrics.alias("m"), F.stddev_pop("label").alias("spread")).select("m.*", "spread").first()
     n = stats["count"]
     penalty = alpha * stats["spread"] / n if alpha else 0.0
-    model = _regression(names, penalty).fit(rows)
+    model = _regression(names, penalty, solver).fit(rows)
     stds = stats["std"].toArray() * math.sqrt((n - 1) / n)
     return DriverModel(model, rows, names, stats["mean"].toArray(), stds, n)
 
@@ -123,12 +131,58 @@ def top_drivers(fitted: DriverModel, n: int = 10) -> DataFrame:
     return side("positive", F.desc("coef")).unionByName(side("negative", F.asc("coef")))
 
 
+def scatter(fitted: DriverModel) -> np.ndarray:
+    """Sums of products of the centred features, p x p, added up on the executors."""
+    width = len(fitted.names)
+    means = fitted.means
+
+    def part(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            centred = np.stack(batch["x"].to_numpy()) - means if len(batch) else np.zeros((0, width))
+            total += centred.T @ centred
+        yield pd.DataFrame({"i": range(width), "row": list(total)})
+
+    sums = fitted.rows.select(vector_to_array("features").alias("x")).mapInPandas(part, "i int, row array<double>")
+    cells = sums.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    out = np.zeros((width, width))
+    for i, j, v in cells.collect():
+        out[i, j] = v
+    return out
+
+
+def rank(fitted: DriverModel) -> int:
+    """How many features are linearly independent of the others and of the constant."""
+    scale = np.where(fitted.stds > 0, fitted.stds, 1.0) * math.sqrt(fitted.n)
+    return int(np.linalg.matrix_rank(scatter(fitted) / np.outer(scale, scale), tol=1e-9, hermitian=True))
+
+
+def coefficient_table(fitted: DriverModel) -> DataFrame:
+    """(feature, coef, std_error, t, p) of a least-squares fit on the standardised scale (A-M12).
+
+    Collinear features share what they explain, as the pseudo-inverse divides it.
+    The p-value is two-sided, from the normal limit of the t distribution.
+    """
+    errors = fitted.model.transform(fitted.rows)
+    residual = F.col("label") - F.col("prediction")
+    sse = errors.agg(F.sum(residual * residual)).first()[0]
+    left = fitted.n - rank(fitted) - 1
+    stds = np.where(fitted.stds > 0, fitted.stds, 1.0)
+    inverse = np.linalg.pinv(scatter(fitted) / np.outer(stds, stds), rcond=1e-9, hermitian=True)
+    spread = np.sqrt(np.clip(np.diag(inverse), 0, None) * sse / left)
+    rows = []
+    for name, coef, error in zip(fitted.names, fitted.coefficients, spread, strict=True):
+        t = float(coef / error) if error > 0 else None
+        rows.append((name, float(coef), float(error), t, None if t is None else math.erfc(abs(t) / math.sqrt(2))))
+    return fitted.spark.createDataFrame(rows, "feature string, coef double, std_error double, t double, p double")
+
+
 def fit_summary(fitted: DriverModel) -> DataFrame:
     """R², adjusted R², F, AIC, rows and degrees of freedom of a least-squares fit (A-M12)."""
     errors = fitted.model.transform(fitted.rows)
     residual = F.col("label") - F.col("prediction")
     sums = errors.agg(F.sum(residual * residual).alias("sse"), (F.var_pop("label") * F.count("label")).alias("sst")).first()
-    n, k = fitted.n, int(np.count_nonzero(fitted.stds > 0))
+    n, k = fitted.n, rank(fitted)
     sse, sst = sums["sse"], sums["sst"]
     r2 = 1 - sse / sst
     left = n - k - 1
@@ -163,7 +217,9 @@ def impact(fitted: DriverModel, feature: str, delta: float = 1.0) -> DataFrame:
         raise ValueError(f"feature {feature!r} not found; there are {plain}")
     at = fitted.names.index(feature)
     std, coef = float(fitted.stds[at]), float(fitted.coefficients[at])
-    row = [(feature, float(delta), std, coef, coef * (delta / std if std else delta))]
+    # the reference scale of a constant feature is 1
+    std = std or 1.0
+    row = [(feature, float(delta), std, coef, coef * delta / std)]
     raw = fitted.spark.createDataFrame(row, "feature string, delta_raw double, std double, coef double, change double")
     return raw.select(
         "feature",

@@ -17,11 +17,21 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 def read_raw_csv(spark: SparkSession, path: str, kind: str = "flat") -> DataFrame | None:
     """A raw listing file, every column as text and blanks as ``''``.
 
+    Columns go by the names in the header, in any order; one that the file
+    lacks is ``''`` throughout.
+
     Descriptions hold line breaks, so each file is read by one task; a large
     source should be a folder of many files. None if the path does not exist.
     """
-    raw = read_if_present(spark, path, raw_schema(kind), "csv", **CSV_OPTIONS)
-    return None if raw is None else raw.na.fill("")
+    raw = read_if_present(spark, path, None, "csv", **CSV_OPTIONS)
+    if raw is None:
+        return None
+    held = {name.strip(): name for name in raw.columns}
+    named = [
+        F.coalesce(F.col(f"`{held[name]}`"), F.lit("")).alias(name) if name in held else F.lit("").alias(name)
+        for name in raw_schema(kind).names
+    ]
+    return raw.select(*named)
 
 
 def unified(raw: DataFrame, kind: str, city: str) -> DataFrame:
@@ -70,24 +80,39 @@ def write_stage(df: DataFrame, path: str) -> None:
 
 
 def write_by_city_and_kind(df: DataFrame, path: str, kind: str = "property_type") -> None:
-    """One folder per city and listing kind."""
-    df.write.mode("overwrite").partitionBy("city", kind).parquet(path)
+    """One folder per city and listing kind; folders of other cities and kinds stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city", kind).parquet(path)
+
+
+def append_by_city_and_kind(df: DataFrame, path: str, kind: str = "property_type", key: str = "property_id") -> None:
+    """Append to each city's and kind's folder the rows whose key that folder lacks."""
+    place = ["city", kind, key]
+    known = read_if_present(df.sparkSession, path)
+    fresh = df if known is None else _without(df, known.select(*place), place)
+    fresh.write.mode("append").partitionBy("city", kind).parquet(path)
+
+
+def _without(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` whose keys, null included, ``known`` does not have."""
+    named = known.select(*[F.col(k).alias(f"known {k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"known {k}")) for k in keys]
+    return new.join(named, same, "left_anti")
 
 
 def stored_keys(spark: SparkSession, path: str, key: str = "property_id") -> DataFrame | None:
     """The distinct keys in a stored table, reading that column only."""
     table = read_if_present(spark, path)
-    return None if table is None else table.select(key).where(F.col(key).isNotNull()).distinct()
+    return None if table is None else table.select(key).distinct()
 
 
 def unseen(new: DataFrame, known: DataFrame, key: str = "property_id") -> DataFrame:
-    """New rows whose key is not stored yet."""
-    return new.join(known.select(key), key, "left_anti")
+    """New rows whose key, null included, is not stored yet."""
+    return _without(new, known, [key])
 
 
 def append_new(new: DataFrame, path: str, key: str = "property_id") -> None:
     """Append the rows whose key the table at ``path`` lacks."""
-    known = stored_keys(new.sparkSession, path, key)
+    known = read_if_present(new.sparkSession, path)
     fresh = new if known is None else unseen(new, known, key)
     fresh.write.mode("append").parquet(path)
 

@@ -12,7 +12,7 @@ from keystead.sources.tables import append_new
 
 
 def landing_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
-    """New files of a landing folder as a stream."""
+    """New files of a landing folder as a stream; a pattern such as ``orders.parque[t]`` takes a file or a folder."""
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 

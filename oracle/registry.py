@@ -13,9 +13,20 @@ from keystead.functions import place as pl
 from keystead.functions import text as tx
 from keystead.operators import furnish, geo, impute, market, outliers, pages, recover, rows, similar
 from keystead.plans import clean, drivers, prepare, price
+from keystead.schemas import FINAL as FINAL_SCHEMA
 from keystead.sources.dims import gazetteer
 from keystead.sources.order_listings import raw_listings, raw_listings_of
-from keystead.sources.tables import read_pages, stored_keys, unseen
+from keystead.sources.order_pages import ORDER_PAGES_SQL, order_pages
+from keystead.sources.tables import (
+    append_by_city_and_kind,
+    read_pages,
+    read_sources,
+    read_stage,
+    stored_keys,
+    unseen,
+    write_by_city_and_kind,
+    write_stage,
+)
 from keystead.storage import materialise, new_path
 from keystead.streaming import ingest
 from oracle import listings as sql
@@ -507,6 +518,12 @@ def sector_map(spark, folder):
     return points.withColumns({"price": r6(F.col("price")), "area": r6(F.col("area"))})
 
 
+@query("sector_map_first", f"SELECT sector, n FROM ({_map_sql('price')}) ORDER BY sector LIMIT 7")
+def sector_map_first(spark, folder):
+    """A caller's limit takes the first sectors by name."""
+    return market.sector_map(final(spark, folder), gazetteer(spark), max_points=7).select("sector", "n")
+
+
 @query("sector_map_counts", _map_sql("n"))
 def sector_map_counts(spark, folder):
     points = market.sector_map(final(spark, folder), gazetteer(spark), "n")
@@ -803,7 +820,7 @@ def driver_summary(spark, folder):
     over(
         "final",
         f"""SELECT {s6('regr_r2(y, x)')} AS r2, {s6('1 - (1 - regr_r2(y, x)) * (count(*) - 1) / (count(*) - 2)')} AS adj_r2, count(*) AS n_obs, 1 AS df_model,
-        {s6('regr_slope(y, x) * stddev_pop(x)')} AS coef, {s6('(exp(100 * regr_slope(y, x)) - 1) * 100')} AS price_pct
+        {s6('regr_slope(y, x) * stddev_pop(x)')} AS coef, round_even((exp(100 * regr_slope(y, x)) - 1) * 100 * 1e4, 0) / 1e4 AS price_pct
         FROM (SELECT ln(1 + price) AS y, built_up_area AS x FROM final WHERE city = 'gurgaon')""",
     ),
 )
@@ -811,9 +828,55 @@ def driver_single(spark, folder):
     """Least squares on one driver: its fit, standardised coefficient and the impact of 100 units."""
     fitted = drivers.fit_drivers(final(spark, folder), "gurgaon", 0.0, ["built_up_area"], [])
     coef = drivers.coefficients(fitted).select(r6(F.col("coef")).alias("coef"))
-    percent = F.expm1(F.lit(100.0) * F.lit(float(fitted.model.coefficients[0]))) * 100
+    percent = drivers.impact(fitted, "built_up_area", 100.0).select("price_pct").scalar()
     row = drivers.fit_summary(fitted).select(r6(F.col("r2")).alias("r2"), r6(F.col("adj_r2")).alias("adj_r2"), "n_obs", "df_model")
-    return row.withColumn("coef", coef.scalar()).withColumn("price_pct", r6(percent))
+    return row.withColumn("coef", coef.scalar()).withColumn("price_pct", percent)
+
+
+@query(
+    "driver_single_table",
+    over(
+        "final",
+        f"""SELECT 'built_up_area' AS feature, {s6('slope * sd')} AS coef, {s6('sqrt(sse / (n - 2) / n)')} AS std_error,
+        {s6('slope * sd / sqrt(sse / (n - 2) / n)')} AS t FROM (SELECT regr_slope(y, x) AS slope, stddev_pop(x) AS sd, count(*) AS n,
+        regr_syy(y, x) * (1 - regr_r2(y, x)) AS sse FROM (SELECT ln(1 + price) AS y, built_up_area AS x FROM final WHERE city = 'gurgaon'))""",
+    ),
+)
+def driver_single_table(spark, folder):
+    """Standard error and t of the one coefficient."""
+    fitted = drivers.fit_drivers(final(spark, folder), "gurgaon", 0.0, ["built_up_area"], [])
+    found = drivers.coefficient_table(fitted).select("feature", "coef", "std_error", "t")
+    return found.withColumns({c: r6(F.col(c)) for c in ("coef", "std_error", "t")})
+
+
+@query(
+    "driver_single_fit",
+    over(
+        "final",
+        f"""SELECT {s6('(syy - sse) / (sse / (n - 2))')} AS fstat, {s6('n * (ln(2 * pi()) + ln(sse / n) + 1) + 4')} AS aic
+        FROM (SELECT count(*) AS n, regr_syy(y, x) AS syy, regr_syy(y, x) * (1 - regr_r2(y, x)) AS sse
+              FROM (SELECT ln(1 + price) AS y, built_up_area AS x FROM final WHERE city = 'gurgaon'))""",
+    ),
+)
+def driver_single_fit(spark, folder):
+    fitted = drivers.fit_drivers(final(spark, folder), "gurgaon", 0.0, ["built_up_area"], [])
+    return drivers.fit_summary(fitted).select(r6(F.col("fstat")).alias("fstat"), r6(F.col("aic")).alias("aic"))
+
+
+@query(
+    "driver_single_ridge",
+    over(
+        "final",
+        f"""SELECT 'built_up_area' AS feature, {s6('slope * sd * n / (n + 50)')} AS coefficient, {s6('abs(slope * sd * n / (n + 50))')} AS abs_coef,
+        CASE WHEN slope > 0 THEN '+' ELSE '-' END AS direction FROM (SELECT regr_slope(y, x) AS slope, stddev_pop(x) AS sd, count(*) AS n
+        FROM (SELECT ln(1 + price) AS y, built_up_area AS x FROM final WHERE city = 'gurgaon'))""",
+    ),
+)
+def driver_single_ridge(spark, folder):
+    """Ridge with a penalty of 50 on one standardised feature, as the importance table shows it."""
+    fitted = drivers.fit_drivers(final(spark, folder), "gurgaon", 50.0, ["built_up_area"], [])
+    found = drivers.importance(fitted)
+    return found.withColumns({c: r6(F.col(c)) for c in ("coefficient", "abs_coef")})
 
 
 @query("driver_cv")
@@ -890,6 +953,154 @@ def page_rejects(spark, folder):
     return pages.page_rejects(read_pages(spark, f"{folder}/pages.parquet"))
 
 
+SITE = "site.example"
+ORDER_PAGES = f"WITH pages AS ({ORDER_PAGES_SQL.strip()}),\n" + """
+base AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS ks, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS lac, o_orderkey % 3 <> 0 AS unit,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'http://site.example/d/new-park-' || o_orderkey ELSE '/d/' || o_orderkey END AS link FROM orders),
+cards AS (SELECT *, CASE WHEN unit THEN ks ELSE '' END AS property_id,
+  CASE WHEN unit THEN 'Green & Co ' || k % 40 WHEN k % 2 = 0 THEN '' ELSE 'Park ' || k % 7 END AS society FROM base),
+named AS (SELECT *, CASE WHEN unit THEN (1 + k % 5) || ' BHK Flat in Sector ' || (1 + k % 100) WHEN society = '' THEN 'New Park ' || ks ELSE society END AS property_name
+  FROM cards),
+details AS (SELECT *, CASE WHEN k % 3 = 1 THEN '' ELSE 'R' || ks END AS page_property_id, (1 + k % 4) || ' Bathrooms' AS bathroom,
+  '["Metro ' || k % 9 || '","Mall"]' AS "nearbyLocations", CASE WHEN k % 2 = 0 THEN '["' || k % 4 || ' Fan","No AC"]' ELSE '[]' END AS "furnishDetails",
+  CASE WHEN k % 2 = 0 THEN '["Spa","Park"]' ELSE '["Gate"]' END AS features, '["' || (1 + k % 5) || ' / 5"]' AS rating FROM named WHERE k % 5 <> 0),
+listings AS (SELECT *, CASE WHEN page_property_id = '' THEN property_id ELSE page_property_id END AS own_id, CASE WHEN unit THEN 'By 2027' ELSE '' END AS possession,
+  CASE WHEN unit THEN CAST(3000 + k % 900 AS VARCHAR) ELSE '' END AS psqft FROM details
+  WHERE unit OR k = (SELECT min(k) FROM base WHERE NOT unit))
+"""
+
+
+def _unit(value: str) -> str:
+    return f"CASE WHEN unit THEN {value} ELSE '' END"
+
+
+@query(
+    "page_cards",
+    ORDER_PAGES + f"""SELECT k * 4 AS page_id, property_id, property_name, link, society, {_unit("lac || ' Lac'")} AS card_price,
+    {_unit('CAST(3000 + k % 900 AS VARCHAR)')} AS card_psqft, {_unit("(300 + k % 700) || ' sqft'")} AS card_area, {_unit("'By 2027'")} AS card_possess,
+    {_unit("'card text'")} AS card_desc FROM named""",
+)
+def page_cards(spark, folder):
+    return pages.cards(order_pages(spark, folder), SITE).drop("pos")
+
+
+LISTS = ["nearbyLocations", "furnishDetails", "features", "rating"]
+
+
+@query(
+    "page_details",
+    ORDER_PAGES + """SELECT link, bathroom, page_property_id, CASE WHEN k % 7 = 0 THEN '' ELSE '₹ ' || lac || ' Lac' END AS price,
+    CASE WHEN k % 4 = 0 THEN '' ELSE 'Homes no ' || ks || ' to see' END AS description, "nearbyLocations", "furnishDetails", features, rating FROM details""",
+)
+def page_details(spark, folder):
+    table = order_pages(spark, folder)
+    found = pages.details(table.where(F.col("url").contains("/d/")))
+    return found.withColumns({c: F.to_json(c) for c in LISTS}).select("link", "bathroom", "page_property_id", "price", "description", *LISTS)
+
+
+@query(
+    "listings_flats",
+    ORDER_PAGES + """SELECT link, own_id AS property_id, property_name, society, bathroom, possession AS "agePossession", psqft AS area,
+    "nearbyLocations", "furnishDetails", features, rating FROM listings""",
+)
+def listings_flats(spark, folder):
+    """From search pages over cards and detail pages to raw listings."""
+    found = pages.listings_from_pages(order_pages(spark, folder), "flats", SITE)
+    return found.select("link", "property_id", "property_name", "society", "bathroom", "agePossession", "area", *LISTS)
+
+
+@query("listings_houses", ORDER_PAGES + 'SELECT link, own_id AS property_id, psqft AS rate, \'\' AS "noOfFloor" FROM listings')
+def listings_houses(spark, folder):
+    return pages.listings_from_pages(order_pages(spark, folder), "houses", SITE).select("link", "property_id", "rate", "noOfFloor")
+
+
+@query(
+    "listings_land",
+    ORDER_PAGES + """SELECT link, own_id AS property_id, possession, '' AS "noOfOpenSides", '' AS "floorNumAllowed", features FROM listings""",
+)
+def listings_land(spark, folder):
+    return pages.listings_from_pages(order_pages(spark, folder), "land", SITE).select(
+        "link", "property_id", "possession", "noOfOpenSides", "floorNumAllowed", "features"
+    )
+
+
+@query("listings_unseen", ORDER_PAGES + "SELECT link, own_id AS property_id FROM listings WHERE unit AND k % 2 = 1")
+def listings_unseen(spark, folder):
+    """Cards whose id is stored already are left out before their detail page is read."""
+    table = order_pages(spark, folder)
+    units = pages.cards(table, SITE).select("property_id").where("property_id = '' or cast(property_id as bigint) % 2 = 0")
+    return pages.listings_from_pages(table, "flats", SITE, known=units).select("link", "property_id")
+
+
+@query("order_pages_blocked", ORDER_PAGES + f"SELECT page_id, {BLOCKED} AS blocked FROM pages")
+def order_pages_blocked(spark, folder):
+    return order_pages(spark, folder).select("page_id", pages.is_blocked(F.col("html")).alias("blocked"))
+
+
+@query("order_pages_rejects", ORDER_PAGES + f"SELECT page_id, url, {BLOCKED} AS blocked FROM pages WHERE NOT contains(html, 'data-label=\"SEARCH\"')")
+def order_pages_rejects(spark, folder):
+    return pages.page_rejects(order_pages(spark, folder))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query("sources_csv", over("raw", """SELECT property_id, city, property_type, rate, society, CASE WHEN property_type = 'house' THEN '' ELSE facing END AS facing,
+    description FROM raw"""))
+def sources_csv(spark, folder):
+    """The listings written as four CSV sources, house files in another column order and without one column, and read back as one table."""
+    raw = raw_listings(spark, folder)
+    sources = []
+    for city in CITIES:
+        for kind in ("flat", "house"):
+            part = raw.where((F.col("city") == city) & (F.col("property_type") == kind)).drop("listing_id", "city", "property_type")
+            if kind == "house":
+                part = part.withColumnRenamed("floorNum", "noOfFloor").drop("facing")
+                part = part.select(*sorted(part.columns, reverse=True))
+            else:
+                part = part.withColumnRenamed("rate", "area")
+            path = new_path(spark, f"{city}-{kind}")
+            part.write.option("header", True).option("escape", '"').csv(path)
+            sources.append((path, kind, city))
+    sources.append((new_path(spark, "absent"), "flat", "gurgaon"))
+    return read_sources(spark, sources).select("property_id", "city", "property_type", "rate", "society", "facing", "description")
+
+
+@query("sink_by_city", over("raw", "SELECT city, property_type, property_id, min(listing_id) AS listing_id FROM raw GROUP BY ALL"))
+def sink_by_city(spark, folder):
+    """One city written, the other added beside it, then all rows appended twice: every key of a folder is there once."""
+    raw = raw_listings(spark, folder).select("listing_id", "property_id", "city", "property_type")
+    raw = rows.first_per_key(raw, ["city", "property_type", "property_id"])
+    path = new_path(spark, "by-city")
+    write_by_city_and_kind(raw.where("city = 'gurgaon' and listing_id % 2 = 0"), path)
+    write_by_city_and_kind(raw.where("city = 'bangalore'"), path)
+    for _ in range(2):
+        append_by_city_and_kind(raw, path)
+    return spark.read.parquet(path).select("city", "property_type", "property_id", "listing_id")
+
+
+@query("stage_round_trip", over("final", f"SELECT {FINAL} FROM final"))
+def stage_round_trip(spark, folder):
+    """The final table as a written stage, read with its declared types."""
+    path = new_path(spark, "stage")
+    write_stage(final(spark, folder), path)
+    names = [c.strip().strip('"') for c in FINAL.split(",")]
+    return read_stage(spark, path, FINAL_SCHEMA).select(*names)
+
+
+@query("merge_parts", over("merged", f"SELECT {sql.CLEAN_COLUMNS} FROM merged"))
+def merge_parts(spark, folder):
+    """Every city cleaned for itself, then merged."""
+    raw = raw_listings(spark, folder)
+    parts = [clean.clean(raw.where(F.col("city") == city)) for city in CITIES]
+    return clean.merge_sources(parts).select(*sql.CLEAN_COLUMNS.split(", "))
+
+
+@query("sector_sizes", over("final", "SELECT listing_id, sector, count(*) OVER (PARTITION BY sector) AS group_size FROM final"))
+def sector_sizes(spark, folder):
+    return rows.with_group_size(final(spark, folder).select("listing_id", "sector"), "sector")
+
+
 # ---------------------------------------------------------------- ingest
 
 
@@ -918,7 +1129,7 @@ def unseen_keys(spark, folder):
 def ingest_new(spark, folder):
     """The listings as a file stream over the orders, taken into a new sink."""
     orders, customer, nation = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("orders", "customer", "nation"))
-    arriving = ingest.landing_stream(spark, folder, orders.schema, pathGlobFilter="orders.parquet")
+    arriving = ingest.landing_stream(spark, f"{folder}/orders.parque[t]", orders.schema)
     sink = new_path(spark, "sink")
     run = ingest.ingest(raw_listings_of(arriving, customer, nation), sink, new_path(spark, "ingest-checkpoint"))
     run.awaitTermination()
@@ -927,11 +1138,14 @@ def ingest_new(spark, folder):
 
 @query("stream_dedup", "SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, folder):
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    arriving = ingest.landing_stream(spark, folder, schema, pathGlobFilter="events.parquet")
+    """The delay covers the span of the table, so no first event comes too late, in whatever order files arrive."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    ts = F.col("ts").cast("timestamp")
+    span = events.agg(F.date_diff(F.max(ts), F.min(ts))).first()[0] or 0
+    arriving = ingest.landing_stream(spark, f"{folder}/events.parque[t]", events.schema)
     sink = new_path(spark, "unique-events")
     arriving = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
-    run = ingest.append_stream(ingest.unique_within(arriving, "event_id", "ts", "1 day"), sink, new_path(spark, "dedup-checkpoint"))
+    run = ingest.append_stream(ingest.unique_within(arriving, "event_id", "ts", f"{span + 1} days"), sink, new_path(spark, "dedup-checkpoint"))
     run.awaitTermination()
     return spark.read.parquet(sink).select("event_id")
 
