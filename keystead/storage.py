@@ -7,6 +7,8 @@ intermediate result.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_owned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other table uses."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _owned:
+        _owned.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """The application's own tables go when its driver ends; nothing else is in this folder."""
+    if spark.sparkContext._jsc is not None:
+        delete(spark, folder)
+    elif folder.startswith(("/", "file:")):  # the session is stopped: a local folder can still be removed
+        shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
