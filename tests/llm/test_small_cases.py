@@ -368,7 +368,7 @@ def test_packing_balances_costs():
 def test_scores(spark):
     rows = [*ODD, *((k, words(40, k % 13, 60).upper()) for k in range(20, 120))]
     docs = documents(spark, rows)
-    got = lm_score.score(docs, held_out("doc_id", 7, 2), lm_score.Settings(block_tokens=300, parts=3)).collect()
+    got = lm_score.score(docs, held_out("doc_id", 7, 2), lm_score.Settings(block_tokens=300, parts=2)).collect()
     import collections
     import math
 
