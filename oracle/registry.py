@@ -891,17 +891,17 @@ def impact(spark, folder):
 
 @query("price_predict")
 def price_predict(spark, folder):
-    """A small forest, fitted on all listings and applied to all of them."""
+    """The published forest, fitted on all listings and applied to all of them."""
     table = final(spark, folder)
-    model, _ = price.fit_final(table, price.forest(trees=20, depth=12))
+    model, _ = price.fit_final(table, price.forest())
     return price.predict(model, table).select("listing_id", "price", "predicted_price", "likely.low", "likely.high", "rate")
 
 
 @query("price_compare")
 def price_compare(spark, folder):
-    """Both models at reduced size: 10 trees, 3 folds."""
-    models = {"forest": price.forest(trees=10, depth=10), "boosted": price.boosted(trees=10)}
-    return price.compare(final(spark, folder), models, folds=3)
+    """Both models at their published sizes, over ten folds."""
+    models = {"forest": price.forest(), "boosted": price.boosted()}
+    return price.compare(final(spark, folder), models)
 
 
 # ---------------------------------------------------------------- pages

@@ -167,3 +167,19 @@ def test_vocabulary_blocks_give_the_same_counts(spark, monkeypatch):
     assert whole == [(1, "Exhaust Fan", 1), (1, "Fan", 2), (2, "Bed", 3), (2, "Fan", 1)]
     monkeypatch.setattr(furnish, "VOCABULARY_BLOCK", 1)
     assert sorted(map(tuple, furnish.furnish_counts(df).collect())) == whole
+
+
+def test_registered_price_models_have_the_published_sizes(spark, monkeypatch):
+    from oracle import registry
+
+    fitted = {}
+    monkeypatch.setattr(registry, "final", lambda spark, folder: None)
+    monkeypatch.setattr(registry.price, "fit_final", lambda table, model: fitted.update(predict=model) or (None, None))
+    monkeypatch.setattr(registry.price, "predict", lambda model, table: table_stub)
+    monkeypatch.setattr(registry.price, "compare", lambda table, models, folds=10: fitted.update(models, folds=folds))
+    table_stub = type("Table", (), {"select": lambda self, *columns: None})()
+    registry.price_predict(None, "")
+    registry.price_compare(None, "")
+    for name in ("predict", "forest"):
+        assert (fitted[name].getNumTrees(), fitted[name].getMaxDepth()) == (500, 30)
+    assert (fitted["boosted"].getMaxIter(), fitted["folds"]) == (500, 10)
