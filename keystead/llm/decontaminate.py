@@ -11,8 +11,9 @@ document. A pair counts when the windows without such a contradiction cover at l
 ``coverage`` of the item.
 
 Items shorter than a window are matched as a whole, so windows have one length
-more for each such length. Windows of which less than half are words only are
-not used, as they say nothing.
+more for each such length. Windows of which more than half are slots say
+nothing as templates and match by their literal values only; an item that has
+such windows enters once more with all its windows, so a copy of it is found.
 
 Defined cases: null and empty texts and items match nothing; repeated
 documents give repeated pairs only once per id and item; documents without an
@@ -59,6 +60,35 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda token: F.when(is_slot(token), F.left(token, F.lit(1))).otherwise(token))
 
 
+def literal(tokens: Column) -> Column:
+    """Tokens without the signs of slots: the same for every reading of names."""
+    return F.transform(tokens, lambda token: F.when(is_slot(token), F.substr(token, F.lit(2))).otherwise(token))
+
+
+def literal_hash(size: Column, values: Column) -> Column:
+    return F.xxhash64(F.lit("literal"), size, values)
+
+
+def heavy_windows(raw: Column, size: int) -> Column:
+    """Position and literal hash of the windows of which more than half are slots, found from the places of slots."""
+    least, last = size // 2 + 1, F.size(raw) - size
+    places = F.filter(F.transform(raw, lambda token, i: F.when(is_slot(token), i)), lambda i: i.isNotNull())
+    # windows that hold ``least`` slots from one slot on
+    starts = F.transform(
+        F.when(F.size(places) >= least, F.sequence(F.lit(0), F.size(places) - least)).otherwise(F.array().cast("array<int>")),
+        lambda j: F.struct(
+            F.greatest(F.lit(0), F.get(places, j + least - 1) - size + 1).alias("low"),
+            F.least(F.get(places, j), last).alias("high"),
+        ),
+    )
+    starts = F.filter(starts, lambda w: w["low"] <= w["high"])
+    found = F.array_distinct(F.flatten(F.transform(starts, lambda w: F.sequence(w["low"], w["high"]))))
+    return F.transform(
+        found,
+        lambda i: F.struct(i.alias("pos"), literal_hash(F.lit(size), literal(F.slice(raw, i + 1, size))).alias("hash")),
+    )
+
+
 def windows(tokens: Column, size: Column) -> Column:
     """Position and hash of every window of ``size`` tokens."""
     last = F.size(tokens) - size
@@ -70,7 +100,11 @@ def windows(tokens: Column, size: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, variant, size, ipos, hash, slots (offset, value): the usable windows of every item, in both variants."""
+    """item_id, variant, size, ipos, hash, slots (offset, value), heavy: the windows of every item, in all variants.
+
+    Variants 0 and 1 read names as words and as slots and leave out heavy windows, those of which more than half are
+    slots. Items with heavy windows have all their windows in the variants 2 and 3 as well, heavy ones by literal values.
+    """
     forms = [
         benchmark.select("item_id", F.lit(variant).alias("variant"), valued_tokens(F.col("text"), variant == 1).alias("raw"))
         for variant in (0, 1)
@@ -83,24 +117,37 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
         F.transform("own", lambda token, i: F.struct(i.alias("offset"), token.alias("value"))),
         lambda slot: is_slot(slot["value"]),
     )
-    items = items.select(
-        "item_id", "variant", "size", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"), slots.alias("slots")
-    )
-    return items.where(2 * F.size("slots") <= F.col("size"))
+    items = items.select("item_id", "variant", "size", "own", "w", slots.alias("slots"))
+    items = items.withColumn("heavy", 2 * F.size("slots") > F.col("size"))
+    kept = ["item_id", "variant", "size", F.col("w.pos").alias("ipos"), "w.hash", "slots", "heavy"]
+    light = items.where("not heavy").select(*kept)
+    dense = items.where("heavy").select(F.col("item_id").alias("dense_id"), F.col("variant").alias("dense_variant")).distinct()
+    whole = items.join(
+        dense, F.col("item_id").eqNullSafe(F.col("dense_id")) & F.expr("variant = dense_variant"), "left_semi"
+    ).withColumns({
+        "variant": F.col("variant") + len(forms),
+        "w": F.when(
+            F.col("heavy"), F.struct(F.col("w.pos").alias("pos"), literal_hash(F.col("size"), literal(F.col("own"))).alias("hash"))
+        ).otherwise(F.col("w")),
+        "slots": F.when(F.col("heavy"), F.slice("slots", 1, 0)).otherwise(F.col("slots")),
+    })
+    return light.unionByName(whole.select(*kept))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, matched, item_windows, coverage, changed_slots."""
     index = materialise(item_windows(benchmark, size), "windows")
     hashes = materialise(index.select("hash").distinct(), "hashes")
-    # at most ``size`` different numbers
-    sizes = sorted(row[0] for row in index.select("size").distinct().collect())
+    # at most ``size`` different numbers, with and without heavy windows
+    kinds = [tuple(row) for row in index.select("size", "heavy").distinct().collect()]
+    sizes, dense = sorted({n for n, heavy in kinds if not heavy}), sorted({n for n, heavy in kinds if heavy})
     if not sizes:
         sizes = [size]
     texts = docs.select("doc_id", "text")
-    tokens = template(valued_tokens(F.col("text"), True))
-    found = texts.select("doc_id", tokens.alias("tokens"))
-    each = F.flatten(F.array_compact(F.array(*(windows(F.col("tokens"), F.lit(n)) for n in sizes))))
+    found = texts.select("doc_id", valued_tokens(F.col("text"), True).alias("raw"))
+    found = found.withColumn("tokens", template(F.col("raw")))
+    each = [*(windows(F.col("tokens"), F.lit(n)) for n in sizes), *(heavy_windows(F.col("raw"), n) for n in dense)]
+    each = F.flatten(F.array_compact(F.array(*each)))
     hits = found.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.pos", "w.hash")
     hits = materialise(hits.join(hashes, "hash", "left_semi").distinct(), "hits")
     pairs = hits.join(index, "hash").withColumn("shift", F.col("pos") - F.col("ipos"))

@@ -186,6 +186,20 @@ def test_plain_windows_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and want
 
 
+def test_copies_of_items_made_of_values(spark):
+    mixed = "Anna, Peter, Oscar and Julia got 12, 15, 18 and 21 km, then every one of them walked home again in the rain"
+    bench = spark.createDataFrame([(1, "Compute 12, 15, 18, 21, 24"), (2, "Add 1, 2, 3, 4, 5, 6, 7, 8 and 9"), (3, mixed)], "item_id long, text string")
+    rows = [
+        (1, "Please compute 12, 15, 18, 21, 24 now"), (2, "Please compute 11, 14, 17, 20, 23 now"), (3, "12, 15, 18, 21, 24"),
+        (4, "You may add 1, 2, 3, 4, 5, 6, 7, 8 and 9 here"), (5, "You may add 2, 3, 4, 5, 6, 7, 8, 9 and 10 here"), (None, "COMPUTE 12, 15, 18, 21, 24"),
+        (6, "They say: " + mixed), (7, mixed.replace("Peter", "Thomas").replace("12", "99")),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(documents(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (4, 2), (None, 1), (6, 3), (7, 3)}
+    assert all(got[key].coverage == 1 for key in [(1, 1), (4, 2), (None, 1), (6, 3)])
+    assert {r.doc_id for r in drop_contaminated(documents(spark, rows), bench).collect()} == {2, 3, 5}
+
+
 # ---- 6 pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a></ul></nav>
