@@ -8,7 +8,9 @@ become a repeated group, and texts that differ become slots. The wrapper
 then tells which groups are the article, by what the host's pages
 have in common: article or main elements, or else the group that holds most of the
 text that is not links; groups marked as menus, adverts, forms, comments and the
-like are left out of it. Each page is matched with its host's wrapper
+like are left out of it. A word in a class or id alone marks no element that is or
+holds an article or main element or, on hosts without those, most of the free
+text; comments count so only where no other article is. Each page is matched with its host's wrapper
 again, and the texts at the article's places are its blocks.
 
 Wrappers are folded in the tasks that read the pages, so a hot host sends one
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -61,6 +64,11 @@ OTHER_NAMES = frozenset(
     " widget newsletter subscribe subscription login signup search pagination pager toolbar copyright disclaimer"
     " masthead topbar skip".split()
 )
+#: Those of them that mark answers and further articles, and what their names are made of besides.
+REPLY_NAMES = frozenset(
+    "related recommended recommendations comment comments commentlist disqus discussion replies respond".split()
+)
+REPLY_PARTS = REPLY_NAMES | frozenset("list area section wrapper container body thread item post posts article articles".split())
 ARTICLE_NAMES = frozenset("article articlebody post entry story content main".split())
 DEEPEST = 100
 
@@ -77,20 +85,30 @@ class Node:
 
 
 def describe(tag: str, attributes: str) -> tuple[str, str]:
-    """The element's label in a wrapper, and whether it is ``other`` matter, ``article`` or neither."""
+    """The element's label in a wrapper, and whether it is ``other`` matter, ``article`` or neither.
+
+    Class words of other matter go before the kind, as ``words`` or ``replies``: the wrapper tells what they weigh.
+    """
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     parts = {part for name in names for part in re.split(r"[^a-z]+", name)} - {""}
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     label = ".".join([tag, *sorted(re.sub(r"[0-9]+", "", name) for name in names)])
-    if hidden or tag in OTHER_TAGS or role in OTHER_ROLES or (parts & OTHER_NAMES and tag not in ("html", "body")):
+    worded = parts & OTHER_NAMES and tag not in ("html", "body")
+    if hidden or tag in OTHER_TAGS or role in OTHER_ROLES or (worded and tag == "header"):
         return label, "other"
     if tag == "header":
         return label, "header"
     if tag in ("article", "main") or role in ("main", "article"):
-        return label, "article"
-    return label, "named" if parts & ARTICLE_NAMES and tag in ("div", "section", "td") else ""
+        kind = "article"
+    else:
+        kind = "named" if parts & ARTICLE_NAMES and tag in ("div", "section", "td") else ""
+    if worded:
+        split = [{*re.split(r"[^a-z]+", name)} - {""} for name in names]
+        replies = any(own & REPLY_NAMES and own <= REPLY_PARTS for own in split)
+        kind = f"{'replies' if replies else 'words'} {kind}"
+    return label, kind
 
 
 def parse(page: str) -> Node:
@@ -194,13 +212,39 @@ def align(a: dict, b: dict) -> dict:
     return out
 
 
-def free_chars(node: dict) -> int:
+def worded(kind: str) -> bool:
+    return kind.startswith(("words", "replies"))
+
+
+def holds_article(node: dict, skip: tuple) -> bool:
+    """Whether the group is or holds an article or main element outside the kinds to skip."""
+    if node["kind"] == "other" or node["kind"].startswith(skip):
+        return False
+    return node["kind"].endswith("article") or any(holds_article(g, skip) for g in node["groups"].values())
+
+
+def settled(node: dict, skip: tuple, least: float) -> dict:
+    """The wrapper with worded groups as other matter, or ``lifted`` to what they are without the words.
+
+    Lifted are groups that are or hold an article, and those of more than ``least`` free characters.
+    """
+    groups = {}
+    for place, group in node["groups"].items():
+        kind, lifted = group["kind"], False
+        if worded(kind):
+            lifted = not kind.startswith(skip) and (holds_article(group, skip) or free_chars(group, skip) > least)
+            kind = kind.partition(" ")[2] if lifted else "other"
+        groups[place] = settled(group | {"kind": kind}, skip, least) | {"lifted": lifted}
+    return node | {"groups": groups}
+
+
+def free_chars(node: dict, skip: tuple = ("words", "replies")) -> int:
     """Characters outside links and outside other matter."""
-    if node["kind"] in ("other", "header"):
+    if node["kind"] in ("other", "header") or node["kind"].startswith(skip):
         return 0
     if node["kind"] == "#":
         return node["chars"]
-    return max(0, sum(free_chars(g) for g in node["groups"].values()) - 2 * node["links"])
+    return max(0, sum(free_chars(g, skip) for g in node["groups"].values()) - 2 * node["links"])
 
 
 def mark(node: dict, kinds: tuple, inside: bool = False) -> dict:
@@ -215,7 +259,7 @@ def mark(node: dict, kinds: tuple, inside: bool = False) -> dict:
             below = {}
         else:
             below = mark(group, kinds, own)
-        if own != inside or below:
+        if own != inside or below or (own and group.get("lifted")):
             out[place] = [int(own), below]
     return out
 
@@ -240,13 +284,20 @@ def heaviest(node: dict) -> dict:
     return {}
 
 
-def article_marks(wrapper: dict) -> dict:
-    """The places of the article in a host's wrapper."""
-    for kinds in (("article",), ("named",)):
-        marks = mark(wrapper, kinds)
+def article_marks(wrapper: dict, by_text: bool = True) -> dict:
+    """The places of the article in a host's wrapper. by_text: worded groups with most of the free text are none."""
+    # "-" is no kind: with it nothing is skipped
+    for skip in (("replies",), ("-",)):
+        marks = mark(settled(wrapper, skip, math.inf), ("article",)) if holds_article(wrapper, skip) else {}
         if begins(marks):
             return marks
-    return heaviest(wrapper)
+    for skip in (("replies",), ("-",)) if by_text else (("words", "replies"),):
+        own = settled(wrapper, skip, free_chars(wrapper, skip) / 2 if by_text else math.inf)
+        marks = mark(own, ("named",))
+        marks = marks if begins(marks) else heaviest(own)
+        if marks:
+            return marks
+    return {}
 
 
 def blocks(node: Node, marks: dict, inside: bool = False) -> Iterator[str]:
@@ -257,7 +308,7 @@ def blocks(node: Node, marks: dict, inside: bool = False) -> Iterator[str]:
                 yield kid
             continue
         own, below = marks.get(place, (inside, {}))
-        if own and (kid.kind == "other" or (kid.kind == "header" and not inside)):
+        if own and (kid.kind == "other" or (kid.kind == "header" and not inside) or (worded(kid.kind) and place not in marks)):
             own, below = False, {}
         if own or below:
             yield from blocks(kid, below, bool(own))
@@ -266,7 +317,7 @@ def blocks(node: Node, marks: dict, inside: bool = False) -> Iterator[str]:
 def extract(page: str, marks: dict) -> str:
     """The article by the host's marks; a page that has nothing there is a wrapper of its own."""
     root = parse(page)
-    found = list(blocks(root, marks)) or list(blocks(root, article_marks(wrapper_of(root))))
+    found = list(blocks(root, marks)) or list(blocks(root, article_marks(wrapper_of(root), by_text=False)))
     return "\n\n".join(found)
 
 

@@ -227,6 +227,27 @@ def test_main_text(spark, body):
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<div class="layout has-sidebar"><article><p>Text</article><div class=sidebar>Side</div></div>', "Text"),
+        ('<article class="post tag-search"><p>Text<div class=share>Share</div></article>', "Text"),
+        ('<main><div class="has-sidebar"><article><p>Text</article></div></main>', "Text"),
+        ('<article><p>Text</article><div id=comments><article class="comment" id="comment-7"><p>No</article></div>', "Text"),
+        ('<article><p>Text<div class="comment-list"><article class=comment>No</article></div></article>', "Text"),
+        ('<article class="post comments-open"><p>Text</article><div class="related-posts"><article><p>No</article></div>', "Text"),
+        ('<div class="layout has-sidebar"><div><p>' + "Long text " * 20 + '<div class=ad>Buy more</div></div></div><div class=cookie>No</div>', ("Long text " * 20).strip()),
+        ('<div class="content sidebar-left"><p>' + "Long text " * 20 + "</p><div class=share>No</div></div>", ("Long text " * 20).strip()),
+        ("<div id=content><p>Text</div><div class=ad>" + "Buy " * 3 + "</div>", "Text"),
+    ],
+)
+def test_class_words_lose_no_article(spark, body, want):
+    page = "<html><body class=widget><nav>Menu</nav>{}<footer>End</footer></body></html>"
+    rows = [(k, f"http://h.org/{k}", page.replace("{}", body)) for k in range(2)] + [(2, "http://h.org/2", page.replace("{}", "<div class=ad>Buy</div>"))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: want, 1: want, 2: ""}
+
+
 def test_wrapper_alignment():
     first, second = (html_extract.wrapper_of(html_extract.parse(x)) for x in ("<div>a</div><p>x<p>y<p>z<p>u", "<p>x<div>b</div>"))
     both = html_extract.align(first, second)
