@@ -4,11 +4,14 @@ Numbers, units after numbers and names (capitalised words inside a sentence)
 become typed placeholders; other words are lower-cased letters. Windows of
 template tokens of a benchmark item and of a document that are equal meet in a
 hash join, so an item with other numbers or names is found as well. An item also
-enters with its names as plain words, for documents that changed the case.
+enters with its names as plain words, for documents that changed the case. Capitalised
+words that open a text or sentence may be names or not, so items and documents
+enter with them as words and as names; common opening words stay words.
 For the documents and items that meet, slots are then compared: along a run of
 matching windows every slot value of the item must stand for one value in the
 document. A pair counts when the windows without such a contradiction cover at least
-``coverage`` of the item.
+``coverage`` of the item, or when ``run_windows`` of them follow each other: 20 words in a row,
+whatever the length of the item.
 
 Items shorter than a window are matched as a whole, so windows have one length
 more for each such length. Windows of which more than half are slots say
@@ -25,6 +28,8 @@ its own limit, others are joined by a shuffle of hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +44,27 @@ UNITS = (
 NUMBERS = rf"([0-9]+(?:[.,:/][0-9]+)*)(?:\s*((?i:{UNITS}))(?!\p{{L}}))?"
 #: A capitalised word after a lower-case letter, a digit or a comma.
 NAMES = r"(?<=[\p{Ll}0-9,])(\s+)(\p{Lu}\p{Ll}+)(?!\p{L})"
+#: Words that open sentences and are not read as names.
+OPENERS = (
+    "The|An|And|But|Or|If|In|On|At|For|From|To|Of|By|As|So|Then|When|While|What|Which|Who|Whose|Where|Why|How|There|"
+    "This|That|These|Those|It|Its|He|She|They|We|You|His|Her|Their|Our|My|Your|Is|Are|Was|Were|Do|Does|Did|Can|Could|"
+    "Will|Would|Should|May|Has|Have|Had|Each|Every|All|Some|Any|No|Not|After|Before|With|Without|During|Let|Find|"
+    "Compute|Calculate|Suppose|Given|Please"
+)
+#: Any other capitalised word, after ``NAMES`` have got their sign.
+FIRST_NAMES = rf"(?<![\p{{L}}\x02])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
+#: Readings of names: as words, as slots inside a sentence, as slots everywhere.
+WORDS, INSIDE, EVERYWHERE = 0, 1, 2
 TOKENS = r"\x01[0-9.,:/]+|[\x02\x03]?\p{L}+"
 
 
-def valued_tokens(text: Column, names: bool) -> Column:
+def valued_tokens(text: Column, names: int) -> Column:
     """Words in lower case; numbers, names and units with the sign of their slot before them."""
     out = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    if names:
+    if names >= INSIDE:
         out = F.regexp_replace(out, NAMES, f"$1 {NAME}$2 ")
+    if names >= EVERYWHERE:
+        out = F.regexp_replace(out, FIRST_NAMES, f" {NAME}$1 ")
     out = F.regexp_replace(out, NUMBERS, f" {NUMBER}$1 {UNIT}$2 ")
     return F.regexp_extract_all(F.lower(out), F.lit(TOKENS), F.lit(0))
 
@@ -102,14 +120,14 @@ def windows(tokens: Column, size: Column) -> Column:
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """item_id, variant, size, ipos, hash, slots (offset, value), heavy: the windows of every item, in all variants.
 
-    Variants 0 and 1 read names as words and as slots and leave out heavy windows, those of which more than half are
-    slots. Items with heavy windows have all their windows in the variants 2 and 3 as well, heavy ones by literal values.
+    Variants 0, 1 and 2 are the readings of names and leave out heavy windows, those of which more than half are slots.
+    Items with heavy windows have all their windows in the variants 3, 4 and 5 as well, heavy ones by literal values.
     """
     forms = [
-        benchmark.select("item_id", F.lit(variant).alias("variant"), valued_tokens(F.col("text"), variant == 1).alias("raw"))
-        for variant in (0, 1)
+        benchmark.select("item_id", F.lit(variant).alias("variant"), valued_tokens(F.col("text"), variant).alias("raw"))
+        for variant in (WORDS, INSIDE, EVERYWHERE)
     ]
-    items = forms[0].unionByName(forms[1]).where(F.size("raw") > 0)
+    items = reduce(DataFrame.unionByName, forms).where(F.size("raw") > 0)
     items = items.withColumn("size", F.least(F.size("raw"), F.lit(size))).withColumn("tokens", template(F.col("raw")))
     items = items.select("item_id", "variant", "size", "raw", F.explode(windows(F.col("tokens"), F.col("size"))).alias("w"))
     items = items.withColumn("own", F.slice("raw", F.col("w.pos") + 1, F.col("size")))
@@ -134,7 +152,9 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return light.unionByName(whole.select(*kept))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3, run_windows: int = 13
+) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, matched, item_windows, coverage, changed_slots."""
     index = materialise(item_windows(benchmark, size), "windows")
     hashes = materialise(index.select("hash").distinct(), "hashes")
@@ -144,9 +164,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage:
     if not sizes:
         sizes = [size]
     texts = docs.select("doc_id", "text")
-    found = texts.select("doc_id", valued_tokens(F.col("text"), True).alias("raw"))
-    found = found.withColumn("tokens", template(F.col("raw")))
-    each = [*(windows(F.col("tokens"), F.lit(n)) for n in sizes), *(heavy_windows(F.col("raw"), n) for n in dense)]
+    found = texts.select(
+        "doc_id", valued_tokens(F.col("text"), INSIDE).alias("raw"), valued_tokens(F.col("text"), EVERYWHERE).alias("named")
+    )
+    found = found.withColumns({"tokens": template(F.col("raw")), "other": template(F.col("named"))})
+    each = [windows(F.col("tokens"), F.lit(n)) for n in sizes]
+    each += [F.when(F.col("other") != F.col("tokens"), windows(F.col("other"), F.lit(n))) for n in sizes]
+    each += [heavy_windows(F.col("named"), n) for n in dense]
     each = F.flatten(F.array_compact(F.array(*each)))
     hits = found.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.pos", "w.hash")
     hits = materialise(hits.join(hashes, "hash", "left_semi").distinct(), "hits")
@@ -156,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage:
     slotted = pairs.where(F.size("slots") > 0)
     wanted = slotted.select(F.col("doc_id").alias("wanted")).distinct()
     whole = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    whole = whole.select(F.col("doc_id").alias("own_id"), valued_tokens(F.col("text"), True).alias("raw")).distinct()
+    whole = whole.select(F.col("doc_id").alias("own_id"), literal(valued_tokens(F.col("text"), INSIDE)).alias("raw")).distinct()
     sides = slotted.join(whole, F.col("doc_id").eqNullSafe(F.col("own_id"))).select(
         "doc_id",
         "item_id",
@@ -167,7 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage:
                 "slots",
                 lambda slot: F.struct(
                     slot["value"].alias("value"),
-                    F.get("raw", F.col("pos") + slot["offset"]).alias("other"),
+                    # of the same kind as the slot, whatever the document's reading of names
+                    F.concat(F.left(slot["value"], F.lit(1)), F.get("raw", F.col("pos") + slot["offset"])).alias("other"),
                 ),
             )
         ).alias("s"),
@@ -187,13 +212,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage:
         F.col("b.broken").isNull()
         | ~F.exists("p.slots", lambda slot: F.array_contains(F.col("b.broken"), slot["value"]))
     )
-    matched = sound.groupBy("p.doc_id", "p.item_id", "p.variant").agg(F.countDistinct("p.ipos").alias("matched"))
+    runs = sound.groupBy(*(f"p.{c}" for c in run)).agg(F.sort_array(F.collect_set("p.ipos")).alias("places"))
+    reach = F.sequence(F.lit(0), F.size("places") - run_windows)
+    in_row = F.exists(reach, lambda i: F.get("places", i + run_windows - 1) - F.get("places", i) == run_windows - 1)
+    in_row = F.when(F.size("places") >= run_windows, in_row).otherwise(F.lit(False))
+    matched = runs.groupBy("doc_id", "item_id", "variant").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"),
+        F.max(in_row).alias("in_row"),
+    )
     totals = index.groupBy("item_id", "variant").agg(F.countDistinct("ipos").alias("item_windows"))
     share = F.col("matched") / F.col("item_windows")
     best = (
         matched.alias("m")
         .join(totals.alias("t"), F.col("m.item_id").eqNullSafe(F.col("t.item_id")) & F.expr("m.variant = t.variant"))
-        .where(share >= coverage)
+        .where((share >= coverage) | F.col("in_row"))
         .groupBy("m.doc_id", "m.item_id")
         .agg(F.max(F.struct(share.alias("coverage"), "matched", "item_windows")).alias("best"))
     )
@@ -215,7 +247,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3, run_windows: int = 13
+) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, size, coverage).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contaminated(docs, benchmark, size, coverage, run_windows).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")

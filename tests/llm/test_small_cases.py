@@ -200,6 +200,27 @@ def test_copies_of_items_made_of_values(spark):
     assert {r.doc_id for r in drop_contaminated(documents(spark, rows), bench).collect()} == {2, 3, 5}
 
 
+def test_names_that_open_sentences(spark):
+    long = "Peter walked to the old mill by the river. Anna waited there for him. Peter brought bread and cheese. Anna brought wine"
+    other = long.replace("Peter", "Oscar").replace("Anna", "Julia")
+    bench = spark.createDataFrame([(1, "Tom has 5 apples and eats 2"), (2, long)], "item_id long, text string")
+    rows = [
+        (1, "Anna has 7 apples and eats 3"), (2, "Yesterday they said: Anna has 7 apples and eats 3"), (3, "There is one. " + other + ". End"),
+        (4, "Nobody has seven apples, eats 3"), (5, "The has 7 apples and eats 3"), (6, long.lower()),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(documents(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (6, 2)}
+    assert got[1, 1].changed_slots == 3 and got[3, 2].changed_slots == 2 and got[3, 2].coverage > 0.9
+
+
+def test_runs_count_beside_the_share(spark):
+    spell = lambda t: re.sub(r"w(\d+)", lambda m: "w" + "".join(chr(97 + int(c)) for c in m[1]), t)
+    own = spell(words(200, 31)).split()
+    rows = [(n, " ".join(own[50 : 50 + n])) for n in (19, 20, 50)] + [(1, " ".join(own[:19]) + " other " + " ".join(own[100:119]))]
+    got = contaminated(documents(spark, rows), spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {20, 50} and {r.matched for r in got} == {13, 43}
+
+
 # ---- 6 pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a></ul></nav>
