@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from keystead.llm import lm_score, toxicity
 from keystead.llm.chat_format import digests, format_trees, turn_messages
+from keystead.llm.collocations import collocations
 from keystead.llm.common import held_out, table
 from keystead.llm.decontaminate import contaminated
 from keystead.llm.exact_dedup import exact_groups
 from keystead.llm.html_extract import extract_pages
 from keystead.llm.jaccard_join import near_classes
 from keystead.llm.packing import pack
+from keystead.llm.repair import damaged, repair_of_all
 from keystead.llm.token_counts import token_counts
 from keystead.llm.url_filter import filter_urls
+from keystead.llm.warc import archive, headers_of
+from keystead.storage import new_path
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,10 +135,146 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"), held_out("doc_id", 7, 2))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return headers_of(archive(table(spark, folder, "pages"), new_path(spark, "warc")))
+
+
+OP11_SQL = """
+WITH sized AS (
+    SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), ranked AS (
+    SELECT *, payload_bytes >= 100 AND row_number() OVER same > 1 AS again, first_value(page_id) OVER same AS first
+    FROM sized WINDOW same AS (PARTITION BY body ORDER BY page_id NULLS LAST)
+)
+SELECT page_id, payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM ranked
+"""
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), grams AS (
+    SELECT lang, unnest(words) AS phrase, 1 AS size FROM split
+    UNION ALL
+    SELECT lang, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))), 2 FROM split
+    UNION ALL
+    SELECT lang, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))), 3 FROM split
+), known AS (
+    SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), total AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM known WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM known WHERE size > 1 AND f >= 10
+), cut AS (
+    SELECT c.lang, c.phrase, c.size, c.a, k, x.f AS l, y.f AS r,
+           (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+    JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:k], ' ')
+    JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(words[k + 1:c.size], ' ')
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), around AS (
+    SELECT lang, inner_phrase AS phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS inner_phrase
+        FROM candidates WHERE size = 3) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM cut LEFT JOIN around USING (lang, phrase) JOIN total USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return repair_of_all(damaged(rows), rows)
+
+
+#: The fault of a row by a crc32 in whole numbers; then, row by row, the best edits that lead to each of the four states.
+OP13_SQL = r"""
+WITH RECURSIVE hashed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(
+               list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                              lambda c: ascii(c)::BIGINT),
+               lambda h, c: list_reduce(range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(h, c)),
+               4294967295), 4294967295) % 20 AS kind
+    FROM conversations
+), hit AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hashed
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM hit
+), told AS (
+    SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_repeat,
+           NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS is_cut, left(role, 1) AS x,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+), coded AS (
+    SELECT *, CASE WHEN is_blank THEN 1 WHEN is_repeat THEN 2 WHEN is_cut THEN 3 ELSE 0 END AS fault FROM told
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+           count(*) FILTER (WHERE fault = 3) AS truncated,
+           count(*) FILTER (WHERE before || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+    FROM coded GROUP BY conv_id
+), step AS (
+    SELECT conv_id, rows, 0::BIGINT AS i, {'c': 0, 'a': '', 't': ''} AS s0, {'c': 1000000000, 'a': '', 't': ''} AS s1,
+           {'c': 1000000000, 'a': '', 't': ''} AS s2, {'c': 1000000000, 'a': '', 't': ''} AS s3
+    FROM facts
+    UNION ALL
+    SELECT conv_id, rows, i,
+        {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t},
+        list_min([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + CASE WHEN x = 's' THEN keep ELSE 1000000000 END, 'a': s0.a || 'K', 't': s0.t || line}]),
+        list_min([{'c': t2.c + 2, 'a': t2.a || 'D', 't': t2.t},
+            {'c': f2.c + CASE WHEN x = 'u' THEN keep ELSE 1000000000 END, 'a': f2.a || 'K', 't': f2.t || line},
+            {'c': f2.c + keep + 1, 'a': f2.a || 'R', 't': f2.t || 'user:' || text || chr(10)}]),
+        list_min([{'c': t3.c + 2, 'a': t3.a || 'D', 't': t3.t},
+            {'c': t2.c + CASE WHEN x = 'a' THEN keep ELSE 1000000000 END, 'a': t2.a || 'K', 't': t2.t || line},
+            {'c': t2.c + keep + 1, 'a': t2.a || 'R', 't': t2.t || 'assistant:' || text || chr(10)}])
+    FROM (
+        SELECT *, list_min([s0, s1, t3]) AS f2 FROM (
+            SELECT *, list_min([s3, {'c': t2.c + 5, 'a': t2.a || 'I', 't': t2.t || 'assistant:' || chr(10)}]) AS t3 FROM (
+                SELECT step.conv_id, rows, coded.i, s0, s1, s3, text, x, role || ':' || text || chr(10) AS line,
+                       CASE fault WHEN 1 THEN 1000000000 WHEN 2 THEN 1000000000 WHEN 3 THEN 5 ELSE 0 END AS keep,
+                       list_min([s2] || list_transform([s0, s1, s3], lambda s: {'c': s.c + 5, 'a': s.a || 'I', 't': s.t || 'user:' || chr(10)})) AS t2
+                FROM step JOIN coded ON coded.conv_id IS NOT DISTINCT FROM step.conv_id AND coded.i = step.i + 1)))
+), ended AS (
+    SELECT conv_id, list_min([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || 'assistant:' || chr(10)}]) AS best
+    FROM step WHERE i = rows
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op4_url_filter": OP4_SQL,
+        "op7_chat_format": OP7_SQL,
+        "op11_warc": OP11_SQL,
+        "op12_collocations": OP12_SQL,
+        "op13_repair": OP13_SQL,
+    }
