@@ -12,7 +12,11 @@ adaptive execution.
 
 Counts are of all texts and whole texts. A phrase below the least count is not
 kept past the sums, which loses nothing: parts and extensions that matter are at
-least as frequent, or at least half as frequent and candidates themselves.
+least as frequent, or at least half as frequent and candidates themselves. For
+the same reason three words are counted only where both their pairs may be
+frequent: words and pairs are counted first, and a bitmap of fixed size with the
+hashes of the frequent pairs goes to the tasks. A hash that strikes a wrong bit
+costs a row and changes nothing.
 
 Null text counts as empty, null language as ``und``. White space other than
 blank, tab and the line breaks that end a piece belongs to words. Texts and
@@ -26,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +42,7 @@ from keystead.llm.common import materialise
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 SLICE = 8 << 20  # bytes of text counted at a time
 ROWS = 250_000  # counts passed on at a time
+BITS = 26  # binary logarithm of the number of bits in the map of frequent pairs: 8 MB
 SALTS = (64, 8, 1)  # groups of a language that are ranked for themselves, step by step
 
 
@@ -81,9 +87,48 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.concatenate((first, [len(keys)])))
 
 
-def grams(ids: np.ndarray, piece: np.ndarray, size: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Words (as numbers) and count of every distinct n-gram inside a piece. width: how many numbers there are."""
+def pair_bits(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bits of pairs of hashed words."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F) + (second >> np.uint64(29)))
+    return (mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+
+
+def frequent_pairs(pairs: DataFrame) -> np.ndarray:
+    """The map of all phrases in ``pairs``, as bytes; a fixed size, whatever their number."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << BITS - 6, np.uint64)
+        for batch in batches:
+            phrases = batch.column("phrase").cast(pa.binary())
+            parts = pc.split_pattern(phrases, b" ", max_splits=1).flatten()
+            both = hashed(parts)
+            bits = pair_bits(both[::2], both[1::2])
+            np.bitwise_or.at(words, bits >> np.uint64(6), np.uint64(1) << (bits & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64))], ["at", "bits"])
+
+    marked = pairs.select("phrase").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    found = marked.toPandas()
+    out = np.zeros(1 << BITS - 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def grams(
+    ids: np.ndarray, piece: np.ndarray, size: int, width: int, likely: np.ndarray | None = None
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words (as numbers) and count of every distinct n-gram inside a piece.
+
+    width: how many numbers there are. likely: for every pair of neighbours, whether it may be frequent.
+    """
     whole = piece[: len(piece) - size + 1] == piece[size - 1 :]
+    if likely is not None:
+        for k in range(size - 1):
+            whole &= likely[k : k + len(whole)]
     keys, pairs = ids[: len(whole)], None
     for k in range(1, size):
         if k == 2 and width**3 >= 1 << 63:  # more words than fit three to a key: number the pairs
@@ -99,8 +144,14 @@ def grams(ids: np.ndarray, piece: np.ndarray, size: int, width: int) -> tuple[li
     return [keys, *parts], n
 
 
-def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, size, phrase, n for all n-grams of the given sizes; size 0 holds the number of words of a language."""
+def phrase_counts(
+    docs: DataFrame, sizes: tuple[int, ...], text: str = "text", lang: str = "lang", pairs: np.ndarray | None = None
+) -> DataFrame:
+    """lang, size, phrase, n for all n-grams of the given sizes; size 0 holds the number of words of a language.
+
+    pairs: the map of frequent pairs; n-grams with another pair in them are left out.
+    """
+    shipped = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,12 +165,17 @@ def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], text: str = "text", l
 
     def of_slice(name: str, part: bytes) -> Iterator[pa.RecordBatch]:
         ids, piece, words = numbered(part)
+        likely = None
+        if shipped is not None:
+            hashes = hashed(words)[ids]
+            bits = pair_bits(hashes[:-1], hashes[1:])
+            likely = (shipped.value[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
         if 1 in sizes:
             yield passed(name, 0, pa.array([""]), np.array([len(ids)]))
         for size in sizes:
             if len(ids) < size:
                 continue
-            found, n = grams(ids, piece, size, max(len(words), 1))
+            found, n = grams(ids, piece, size, max(len(words), 1), likely)
             for at in range(0, len(n), ROWS):
                 texts = [words.take(pa.array(x[at : at + ROWS])) for x in found]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if size > 1 else texts[0]
@@ -186,8 +242,11 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, text: str =
 
     least: occurrences of a candidate. A candidate is dropped if a longer one around it is at least half as frequent.
     """
-    known = phrase_counts(docs, (1, 2, 3), text, lang).where((F.col("n") >= least) | (F.col("size") == 0))
-    known = materialise(known, "phrase-counts")
+    frequent = (F.col("n") >= least) | (F.col("size") == 0)
+    short = materialise(phrase_counts(docs, (1, 2), text, lang).where(frequent), "phrase-counts")
+    pairs = frequent_pairs(short.where("size = 2"))
+    long = materialise(phrase_counts(docs, (3,), text, lang, pairs).where(frequent), "phrase-counts")
+    known = short.unionByName(long)
     phrases = known.where("size >= 2").withColumnRenamed("n", "a")
     parts = known.where("size in (1, 2)")
     in_prefix_order = merged(cuts(phrases), parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), "first")
