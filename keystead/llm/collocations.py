@@ -43,6 +43,7 @@ CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 SLICE = 8 << 20  # bytes of text counted at a time
 ROWS = 250_000  # counts passed on at a time
 BITS = 26  # binary logarithm of the number of bits in the map of frequent pairs: 8 MB
+BLOCK = 12  # binary logarithm of the number of bytes in a block of that map
 SALTS = (64, 8, 1)  # groups of a language that are ranked for themselves, step by step
 
 
@@ -98,24 +99,41 @@ def hashed(words: pa.Array) -> np.ndarray:
 
 
 def frequent_pairs(pairs: DataFrame) -> np.ndarray:
-    """The map of all phrases in ``pairs``, as bytes; a fixed size, whatever their number."""
+    """The map of all phrases in ``pairs``, as bytes; a fixed size, whatever their number.
+
+    Tasks mark their pairs in blocks of the map, and equal blocks are put over each other before they are collected.
+    """
+    names, kinds = ["block", "bits"], "block int, bits binary"
+
+    def passed(blocks: list[int], bits: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(bits, pa.binary())], names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << BITS - 6, np.uint64)
+        marks = np.zeros((1 << BITS - 3 - BLOCK, 1 << BLOCK), np.uint8)
+        flat, used = marks.reshape(-1), set()
         for batch in batches:
-            phrases = batch.column("phrase").cast(pa.binary())
-            parts = pc.split_pattern(phrases, b" ", max_splits=1).flatten()
-            both = hashed(parts)
+            both = hashed(pc.split_pattern(batch.column("phrase").cast(pa.binary()), b" ", max_splits=1).flatten())
             bits = pair_bits(both[::2], both[1::2])
-            np.bitwise_or.at(words, bits >> np.uint64(6), np.uint64(1) << (bits & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64))], ["at", "bits"])
-
-    marked = pairs.select("phrase").mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    found = marked.toPandas()
-    out = np.zeros(1 << BITS - 6, np.int64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(np.uint8)
+            np.bitwise_or.at(flat, bits >> np.uint64(3), np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8))
+            used.update(np.unique(bits >> np.uint64(3 + BLOCK)).tolist())
+        yield passed(sorted(used), [marks[k].tobytes() for k in sorted(used)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for batch in batches:
+            for number, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if number != block and held is not None:
+                    yield passed([block], [held.tobytes()])
+                own = np.frombuffer(bits, np.uint8)
+                held, block = own | held if number == block else own, number
+        if held is not None:
+            yield passed([block], [held.tobytes()])
+
+    marked = pairs.select("phrase").mapInArrow(mark, kinds).repartition("block").sortWithinPartitions("block")
+    out = np.zeros((1 << BITS - 3 - BLOCK, 1 << BLOCK), np.uint8)
+    for row in marked.mapInArrow(fold, kinds).collect():
+        out[row.block] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
 
 
 def grams(

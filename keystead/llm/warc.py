@@ -19,8 +19,8 @@ payload_digest, refers_to_record, refers_to, refers_to_url, refers_to_date,
 intact). A null url is written as none, a null payload as an empty one; blanks,
 line breaks and tabs in a url are written as percent codes, as they would end
 its header line. A null page_id is written without its field and comes after
-all others when the original is chosen; of equal ids the first record written
-is the original. Repeated rows are records of their own. Payloads of any length
+all others when the original is chosen; of records with equal ids one is the
+original. Repeated rows are records of their own. Payloads of any length
 and any bytes come back as they were; rows in, records out: none is dropped. An
 empty table gives archives without records. Other columns are not archived.
 """
