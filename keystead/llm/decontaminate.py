@@ -13,21 +13,29 @@ document. A pair counts when the windows without such a contradiction cover at l
 ``coverage`` of the item, or when ``run_windows`` of them follow each other: 20 words in a row,
 whatever the length of the item.
 
+A text is read once: words that may be names keep a sign of their own, and the
+second reading turns it into a slot. Tokens are hashed once, and a window is the
+hash of their hashes. Only places whose first two tokens start some window of the
+benchmark are hashed at all; a bitmap of fixed size tells most others at once,
+and a place that strikes a wrong bit is left out by the join.
+
 Items shorter than a window are matched as a whole, so windows have one length
 more for each such length. Windows of which more than half are slots say
 nothing as templates and match by their literal values only; an item that has
 such windows enters once more with all its windows, so a copy of it is found.
 
-Defined cases: null and empty texts and items match nothing; repeated
-documents give repeated pairs only once per id and item; documents without an
-id are compared under the id null; other columns are not read; empty tables
-give an empty result. Sizes: the distinct window hashes of the benchmark are
+Defined cases: null and empty texts and items match nothing. A document is an id
+and a text, so rows that share an id, or have none, are judged each by its own
+text; repeated rows are one document, and a pair of id and item is reported once.
+Texts of any length are read whole; ties between readings go to the greater
+coverage. Other columns are not read; empty tables give an empty result. Sizes: the distinct window hashes of the benchmark are
 written first, so the planner knows their size; small ones are broadcast by
 its own limit, others are joined by a shuffle of hashes.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +44,7 @@ from pyspark.sql import functions as F
 from keystead.llm.common import materialise
 
 #: Signs that open a slot token; they are removed from texts first.
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
 UNITS = (
     "km|cm|mm|m|kg|g|mg|t|l|ml|s|ms|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|foot|"
     "inch(?:es)?|meters?|metres?|kilometers?|grams?|kilograms?|pounds?|liters?|litres?|dollars?|euros?|cents?|percent"
@@ -52,30 +60,47 @@ OPENERS = (
     "Compute|Calculate|Suppose|Given|Please"
 )
 #: Any other capitalised word, after ``NAMES`` have got their sign.
-FIRST_NAMES = rf"(?<![\p{{L}}\x02])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
+FIRST_NAMES = rf"(?<![\p{{L}}0-9\x02])(?!(?:{OPENERS})(?!\p{{L}}))(\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
 #: Readings of names: as words, as slots inside a sentence, as slots everywhere.
 WORDS, INSIDE, EVERYWHERE = 0, 1, 2
-TOKENS = r"\x01[0-9.,:/]+|[\x02\x03]?\p{L}+"
+TOKENS = r"\x01[0-9.,:/]+|[\x02-\x04]?\p{L}+"
+#: Bits of the map of window starts: 64 KB.
+GATE_BITS = 1 << 19
+
 
+def valued_tokens(text: Column, names: int, first: str = NAME) -> Column:
+    """Words in lower case; numbers, names and units with the sign of their slot before them.
 
-def valued_tokens(text: Column, names: int) -> Column:
-    """Words in lower case; numbers, names and units with the sign of their slot before them."""
-    out = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
+    first: the sign of names that only the reading EVERYWHERE sees.
+    """
+    text = F.coalesce(text, F.lit(""))
+    out = F.when(text.rlike("[\x01-\x04]"), F.translate(text, NUMBER + NAME + UNIT + FIRST, "    ")).otherwise(text)
     if names >= INSIDE:
         out = F.regexp_replace(out, NAMES, f"$1 {NAME}$2 ")
     if names >= EVERYWHERE:
-        out = F.regexp_replace(out, FIRST_NAMES, f" {NAME}$1 ")
+        out = F.regexp_replace(out, FIRST_NAMES, f" {first}$1 ")
     out = F.regexp_replace(out, NUMBERS, f" {NUMBER}$1 {UNIT}$2 ")
     return F.regexp_extract_all(F.lower(out), F.lit(TOKENS), F.lit(0))
 
 
 def is_slot(token: Column) -> Column:
-    return token < F.lit("\u0004")
+    return token < F.lit("\u0005")
+
+
+def template_hashes(tokens: Column) -> Column:
+    """Hashes of the tokens, those of slots without their values; a ``FIRST`` name is a word."""
+    return F.transform(
+        tokens,
+        lambda t: F.when(
+            is_slot(t),
+            F.when(t < FIRST, F.xxhash64(F.left(t, F.lit(1)))).otherwise(F.xxhash64(F.substr(t, F.lit(2)))),
+        ).otherwise(F.xxhash64(t)),
+    )
 
 
-def template(tokens: Column) -> Column:
-    """Slot tokens without their values."""
-    return F.transform(tokens, lambda token: F.when(is_slot(token), F.left(token, F.lit(1))).otherwise(token))
+def named_hashes(tokens: Column, hashes: Column) -> Column:
+    """The hashes where ``FIRST`` names are slots too."""
+    return F.transform(tokens, lambda t, i: F.when(t.startswith(FIRST), F.xxhash64(F.lit(NAME))).otherwise(F.get(hashes, i)))
 
 
 def literal(tokens: Column) -> Column:
@@ -107,18 +132,58 @@ def heavy_windows(raw: Column, size: int) -> Column:
     )
 
 
-def windows(tokens: Column, size: Column) -> Column:
-    """Position and hash of every window of ``size`` tokens."""
-    last = F.size(tokens) - size
+def window_hash(hashes: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(size, F.slice(hashes, start + 1, size))
+
+
+def windows(hashes: Column, size: Column) -> Column:
+    """Position and hash of every window of ``size`` tokens, and the bit of its first two tokens."""
+    last = F.size(hashes) - size
     found = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(size, F.slice(tokens, i + 1, size)).alias("hash")),
+        lambda i: F.struct(i.alias("pos"), window_hash(hashes, i, size).alias("hash"), start_bit(hashes, i).alias("start")),
     )
     return F.when(last >= 0, found)
 
 
+def start_bit(hashes: Column, at: Column) -> Column:
+    """The bit of the map of window starts for the tokens at a place; null where only one token is left."""
+    pair = F.get(hashes, at).bitwiseXOR(F.shiftleft(F.get(hashes, at + 1), 1))
+    return pair.bitwiseAND(F.lit(GATE_BITS - 1))
+
+
+def gate(index: DataFrame) -> Column:
+    """The map of the starts of all windows of two and more tokens: whole numbers of 64 bits, as a constant."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("start").bitwiseAND(F.lit(63)).cast("int"))
+    marked = index.where("size > 1").groupBy(F.shiftright("start", 6).alias("at")).agg(F.bit_or(one).alias("bits"))
+    words = [0] * (GATE_BITS // 64)
+    for row in marked.collect():  # a row for every number at most
+        words[row["at"]] = row["bits"]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+
+def likely_windows(hashes: Column, sizes: list[int], starts: Column) -> Column:
+    """Position and hash of the windows whose first two tokens start a window of the benchmark."""
+
+    def marked(i: Column) -> Column:
+        bit = start_bit(hashes, i)
+        word = F.get(starts, F.shiftright(bit, 6).cast("int"))
+        return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def of_size(size: int) -> Column:
+        def window(i: Column) -> Column:
+            return F.when(i <= n - size, F.struct(i.alias("pos"), window_hash(hashes, i, F.lit(size)).alias("hash")))
+
+        return F.transform(places if size > 1 else F.when(n > 0, F.sequence(F.lit(0), n - 1)), window)
+
+    n = F.size(hashes)
+    places = F.when(n > 1, F.filter(F.sequence(F.lit(0), n - 2), marked))
+    found = [of_size(size) for size in sizes]
+    return F.array_compact(F.flatten(F.array_compact(F.array(*found))))
+
+
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, variant, size, ipos, hash, slots (offset, value), heavy: the windows of every item, in all variants.
+    """item_id, variant, size, ipos, hash, start, slots (offset, value), heavy: the windows of every item, in all variants.
 
     Variants 0, 1 and 2 are the readings of names and leave out heavy windows, those of which more than half are slots.
     Items with heavy windows have all their windows in the variants 3, 4 and 5 as well, heavy ones by literal values.
@@ -128,7 +193,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
         for variant in (WORDS, INSIDE, EVERYWHERE)
     ]
     items = reduce(DataFrame.unionByName, forms).where(F.size("raw") > 0)
-    items = items.withColumn("size", F.least(F.size("raw"), F.lit(size))).withColumn("tokens", template(F.col("raw")))
+    items = items.withColumn("size", F.least(F.size("raw"), F.lit(size))).withColumn("tokens", template_hashes(F.col("raw")))
     items = items.select("item_id", "variant", "size", "raw", F.explode(windows(F.col("tokens"), F.col("size"))).alias("w"))
     items = items.withColumn("own", F.slice("raw", F.col("w.pos") + 1, F.col("size")))
     slots = F.filter(
@@ -137,7 +202,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
     items = items.select("item_id", "variant", "size", "own", "w", slots.alias("slots"))
     items = items.withColumn("heavy", 2 * F.size("slots") > F.col("size"))
-    kept = ["item_id", "variant", "size", F.col("w.pos").alias("ipos"), "w.hash", "slots", "heavy"]
+    kept = ["item_id", "variant", "size", F.col("w.pos").alias("ipos"), "w.hash", "w.start", "slots", "heavy"]
     light = items.where("not heavy").select(*kept)
     dense = items.where("heavy").select(F.col("item_id").alias("dense_id"), F.col("variant").alias("dense_variant")).distinct()
     whole = items.join(
@@ -145,7 +210,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     ).withColumns({
         "variant": F.col("variant") + len(forms),
         "w": F.when(
-            F.col("heavy"), F.struct(F.col("w.pos").alias("pos"), literal_hash(F.col("size"), literal(F.col("own"))).alias("hash"))
+            F.col("heavy"), F.struct(F.col("w.pos").alias("pos"), literal_hash(F.col("size"), literal(F.col("own"))).alias("hash"), F.col("w.start").alias("start"))
         ).otherwise(F.col("w")),
         "slots": F.when(F.col("heavy"), F.slice("slots", 1, 0)).otherwise(F.col("slots")),
     })
@@ -156,33 +221,44 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3, run_windows: int = 13
 ) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, matched, item_windows, coverage, changed_slots."""
+    best = F.max(F.struct("coverage", "matched", "item_windows", "changed_slots")).alias("best")
+    found = held_items(docs, benchmark, size, coverage, run_windows).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "best.matched", "best.item_windows", "best.coverage", "best.changed_slots")
+
+
+def text_digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def held_items(docs: DataFrame, benchmark: DataFrame, size: int, coverage: float, run_windows: int) -> DataFrame:
+    """As ``contaminated``, for every id and text: with the column digest of the text."""
     index = materialise(item_windows(benchmark, size), "windows")
     hashes = materialise(index.select("hash").distinct(), "hashes")
     # at most ``size`` different numbers, with and without heavy windows
     kinds = [tuple(row) for row in index.select("size", "heavy").distinct().collect()]
     sizes, dense = sorted({n for n, heavy in kinds if not heavy}), sorted({n for n, heavy in kinds if heavy})
-    if not sizes:
-        sizes = [size]
-    texts = docs.select("doc_id", "text")
-    found = texts.select(
-        "doc_id", valued_tokens(F.col("text"), INSIDE).alias("raw"), valued_tokens(F.col("text"), EVERYWHERE).alias("named")
-    )
-    found = found.withColumns({"tokens": template(F.col("raw")), "other": template(F.col("named"))})
-    each = [windows(F.col("tokens"), F.lit(n)) for n in sizes]
-    each += [F.when(F.col("other") != F.col("tokens"), windows(F.col("other"), F.lit(n))) for n in sizes]
-    each += [heavy_windows(F.col("named"), n) for n in dense]
+    texts = docs.select("doc_id", "text", text_digest().alias("digest"))
+    starts = gate(index.where("not heavy"))
+    found = texts.select("doc_id", "digest", valued_tokens(F.col("text"), EVERYWHERE, FIRST).alias("raw"))
+    found = found.withColumn("plain", template_hashes(F.col("raw")))
+    found = found.withColumn("named", named_hashes(F.col("raw"), F.col("plain")))
+    each = [likely_windows(F.col(reading), sizes or [size], starts) for reading in ("plain", "named")]
+    each += [heavy_windows(F.col("raw"), n) for n in dense]
     each = F.flatten(F.array_compact(F.array(*each)))
-    hits = found.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.pos", "w.hash")
+    hits = found.select("doc_id", "digest", F.explode(each).alias("w")).select("doc_id", "digest", "w.pos", "w.hash")
     hits = materialise(hits.join(hashes, "hash", "left_semi").distinct(), "hits")
     pairs = hits.join(index, "hash").withColumn("shift", F.col("pos") - F.col("ipos"))
 
     # the values of slots on both sides, for the documents that have such windows
     slotted = pairs.where(F.size("slots") > 0)
-    wanted = slotted.select(F.col("doc_id").alias("wanted")).distinct()
-    whole = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    whole = whole.select(F.col("doc_id").alias("own_id"), literal(valued_tokens(F.col("text"), INSIDE)).alias("raw")).distinct()
-    sides = slotted.join(whole, F.col("doc_id").eqNullSafe(F.col("own_id"))).select(
+    wanted = slotted.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    whole = texts.join(wanted, own, "left_semi").select(
+        F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), literal(valued_tokens(F.col("text"), INSIDE)).alias("raw")
+    )
+    sides = slotted.join(whole.distinct(), own).select(
         "doc_id",
+        "digest",
         "item_id",
         "variant",
         "shift",
@@ -197,13 +273,13 @@ def contaminated(
             )
         ).alias("s"),
     )
-    run = ["doc_id", "item_id", "variant", "shift"]
+    run = ["doc_id", "digest", "item_id", "variant", "shift"]
     values = sides.groupBy(*run, F.col("s.value").alias("value")).agg(
         F.min("s.other").alias("low"), F.max("s.other").alias("high")
     )
     values = materialise(values, "slots")
     broken = values.where("low <> high").groupBy(*run).agg(F.collect_set("value").alias("broken"))
-    changed = values.where("low = high and low <> value").groupBy("doc_id", "item_id").agg(
+    changed = values.where("low = high and low <> value").groupBy("doc_id", "digest", "item_id").agg(
         F.countDistinct("value").alias("changed_slots")
     )
 
@@ -216,7 +292,7 @@ def contaminated(
     reach = F.sequence(F.lit(0), F.size("places") - run_windows)
     in_row = F.exists(reach, lambda i: F.get("places", i + run_windows - 1) - F.get("places", i) == run_windows - 1)
     in_row = F.when(F.size("places") >= run_windows, in_row).otherwise(F.lit(False))
-    matched = runs.groupBy("doc_id", "item_id", "variant").agg(
+    matched = runs.groupBy("doc_id", "digest", "item_id", "variant").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"),
         F.max(in_row).alias("in_row"),
     )
@@ -226,18 +302,19 @@ def contaminated(
         matched.alias("m")
         .join(totals.alias("t"), F.col("m.item_id").eqNullSafe(F.col("t.item_id")) & F.expr("m.variant = t.variant"))
         .where((share >= coverage) | F.col("in_row"))
-        .groupBy("m.doc_id", "m.item_id")
+        .groupBy("m.doc_id", "m.digest", "m.item_id")
         .agg(F.max(F.struct(share.alias("coverage"), "matched", "item_windows")).alias("best"))
     )
     return (
         best.alias("x")
         .join(
             changed.alias("c"),
-            F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("x.item_id").eqNullSafe(F.col("c.item_id")),
+            F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & F.expr("x.digest = c.digest") & F.col("x.item_id").eqNullSafe(F.col("c.item_id")),
             "left",
         )
         .select(
             "x.doc_id",
+            "x.digest",
             "x.item_id",
             "best.matched",
             "best.item_windows",
@@ -251,5 +328,6 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.3, run_windows: int = 13
 ) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, size, coverage, run_windows).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = held_items(docs, benchmark, size, coverage, run_windows)
+    bad = bad.select(F.col("doc_id").alias("bad id"), F.col("digest").alias("bad digest")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad id")) & (text_digest() == F.col("bad digest")), "left_anti")
