@@ -80,14 +80,19 @@ def age_bucket(c: Column) -> Column:
     return bucket.when(ends_in_year, F.lit("Under Construction")).otherwise(F.lit(UNDEFINED))
 
 
+def item_number(text: Column, item: Column) -> Column:
+    """The digits before the first numbered mention of an item (``2 Fan``), empty if it has none."""
+    quoted = F.concat(F.lit(r"(?U)(\d+) \Q"), item, F.lit(r"\E"))
+    return _group_one(text, quoted)
+
+
 def item_count(text: Column, item: Column) -> Column:
     """How many of an item a furnishing text lists.
 
     ``No X`` is zero, ``n X`` is n, a bare mention is one. The item is looked
     for anywhere in the text, also inside longer item names.
     """
-    quoted = F.concat(F.lit(r"(?U)(\d+) \Q"), item, F.lit(r"\E"))
-    number = _group_one(text, quoted).try_cast("int")
+    number = item_number(text, item).try_cast("int")
     return (
         F.when(F.coalesce(~text.contains(item), F.lit(True)), F.lit(0))
         .when(text.contains(F.concat(F.lit("No "), item)), F.lit(0))

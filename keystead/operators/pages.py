@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keystead.functions.text import strip
 from keystead.operators.outline import choose, first, with_elements
 from keystead.operators.recover import recover
-from keystead.operators.rows import first_per_key
+from keystead.operators.rows import first_of_computed
 from keystead.schemas import HOUSE_RENAMES, LAND_TEXTS, RAW_TEXTS
 from keystead.sources.tables import unseen
 from keystead.storage import materialise
@@ -184,7 +184,7 @@ def new_cards(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         found = unseen(found, known)
     ordered = found.withColumn("order", F.struct("page_id", "pos"))
-    return first_per_key(ordered, ["property_id"], "order").drop("order")
+    return first_of_computed(ordered, ["property_id"], "order").drop("order")
 
 
 def details(pages: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def details(pages: DataFrame) -> DataFrame:
     })
     block = F.get(feature_blocks, F.when(F.size("furnishDetails") > 0, F.lit(1)).otherwise(F.lit(0)))
     found = step.withColumn("block", block).withColumn("features", items_of(e, F.col("block"), tag="li"))
-    return first_per_key(found.drop("elements", "block", "html"), ["link"], "page_id").drop("page_id")
+    return first_of_computed(found.drop("elements", "block", "html"), ["link"], "page_id").drop("page_id")
 
 
 def merge_cards(found: DataFrame, detail: DataFrame) -> DataFrame:

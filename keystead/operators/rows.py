@@ -4,21 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystead.functions.text import is_blank
 from keystead.storage import lookup_join, materialise
 
+#: Random order is counted in 2^BAND_BITS bands.
+BAND_BITS = 12
 CORE_TEXTS = ["price", "bedRoom", "areaWithType"]
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str = "listing_id") -> DataFrame:
-    """The earliest row of every key.
+    """The earliest row of every key (W1); ``order`` is unique, and null keys are a key.
 
-    An aggregate, not a window: each task keeps one row per key before the
-    shuffle, so a key that holds much of the table (blank ids) costs no more
-    than any other.
+    Whole rows stay where they are. Only keys and ids are grouped, each task keeping one id per key before the
+    shuffle; the ids that lose, few in most tables, are then taken out of the rows. A key that holds much of the
+    table (blank ids) is one row after the grouping, and its losing ids are as unique as all others. ``df`` is read
+    twice, so it should be a written table.
+    """
+    names = [f"key {i}" for i in range(len(keys))]
+    narrow = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(order).alias("lost id"))
+    narrow = materialise(narrow, "keys")
+    firsts = narrow.groupBy(*[F.col(n).alias(f"of {n}") for n in names]).agg(
+        F.min("lost id").alias("first id"), F.count(F.lit(1)).alias("rows of key")
+    )
+    firsts = materialise(firsts.where(F.col("rows of key") > 1).drop("rows of key"), "first-ids")
+    same = [F.col(n).eqNullSafe(F.col(f"of {n}")) for n in names]
+    lost = narrow.join(firsts, same, "inner").where(F.col("lost id") > F.col("first id")).select("lost id")
+    lost = materialise(lost, "lost-ids")
+    return df.join(lost, F.col(order) == F.col("lost id"), "left_anti")
+
+
+def first_of_computed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The earliest row of every key where rows are costly to compute or their order is not unique.
+
+    One aggregate over whole rows: they are computed once and shuffled once, each task keeping one row per key.
     """
     rest = [c for c in df.columns if c not in keys]
     kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row"))
@@ -89,22 +110,52 @@ def without_prefixes(df: DataFrame, column: str, prefixes: list[str]) -> DataFra
     return reduce(lambda d, p: d.where(~F.col(column).startswith(p)), prefixes, df)
 
 
+def keyed_hash(key: str = "listing_id", seed: int = 42) -> Column:
+    """A whole number below 2^60 from a seed and a row's key; any engine with MD5 gets the same one."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def random_places(df: DataFrame, key: str = "listing_id", seed: int = 42, first: int | None = None) -> DataFrame:
+    """Adds ``place``, 1 to n: the rows in a repeatable random order, or only the ``first`` ones of it.
+
+    The order is that of a hash of the key. Rows are counted in bands of equal width; the running total over the
+    bands, a table of fixed size, says where a band begins, and only a band is ever ordered. Bands behind the
+    last wanted place are left out before that.
+    """
+    hashed = df.withColumn("drawn", keyed_hash(key, seed)).withColumn("band", F.shiftright("drawn", 60 - BAND_BITS))
+    totals = hashed.groupBy("band").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held")
+    if first is not None:
+        starts = starts.where(F.col("before") < first)
+    found = hashed.join(materialise(starts, "bands"), "band")
+    inside = F.row_number().over(Window.partitionBy("band").orderBy("drawn", key))
+    placed = found.withColumn("place", F.col("before") + inside).select(*df.columns, "place")
+    return placed if first is None else placed.where(F.col("place") <= first)
+
+
 def seeded_sample(df: DataFrame, n: int, key: str = "listing_id", seed: int = 42) -> DataFrame:
     """At most ``n`` rows, the same ones on every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return random_places(df, key, seed, n).select(*df.columns)
 
 
 def shuffled(df: DataFrame, key: str = "listing_id", seed: int = 42) -> DataFrame:
     """All rows in a repeatable random order (T5)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return random_places(df, key, seed).orderBy("place").select(*df.columns)
 
 
 def fold_of(key: str = "listing_id", folds: int = 10, seed: int = 42) -> Column:
     """Cross-validation fold of a row, from its id."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    return (keyed_hash(key, seed) % folds).cast("int")
+
+
+def is_held_out(share: float = 0.2, key: str = "listing_id", seed: int = 42) -> Column:
+    """Whether a row belongs to the held-out share, independent of its fold."""
+    return keyed_hash(key, seed + 1) % 1000 < int(share * 1000)
 
 
 def holdout(df: DataFrame, share: float = 0.2, key: str = "listing_id", seed: int = 42):
     """Training and test rows, split by a hash of the id."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1000))
-    return df.where(bucket >= share * 1000), df.where(bucket < share * 1000)
+    test = is_held_out(share, key, seed)
+    return df.where(~test), df.where(test)

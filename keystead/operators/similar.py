@@ -1,8 +1,8 @@
 """Similar listings by three weighted cosine signals.
 
 The full matrix of pairs is never built. One anchor is scored in one scan; a
-table of anchors is scored in bounded blocks, each task keeping the best n per
-anchor, so only n rows per anchor and task are shuffled.
+table of anchors meets chunks of the listings, of each of which only the best n
+rows per anchor are passed on.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ NUMERIC = ["price", "bedRoom", "bathroom", "built_up_area", "servant room", "sto
 CATEGORICAL = ["property_type", "agePossession", "furnishing_type", "luxury_category", "floor_category", "balcony"]
 LOCATION = ["sector", "city"]
 WEIGHTS = (30.0, 20.0, 8.0)
-ANCHOR_BLOCK = 500
+ANCHOR_BLOCK = 256
+CHUNK_ROWS = 20_000
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -137,67 +138,79 @@ def similar_to_each(
 ) -> DataFrame:
     """The ``top_n`` neighbours of every listing named in ``anchors``.
 
-    Anchors go to the tasks in blocks of a fixed number of rows; every block is
-    one scan of the listings, with no pair leaving its task but the best n.
+    Listings are dealt into chunks of about ``CHUNK_ROWS`` rows, and every anchor goes to every chunk once: one
+    shuffle and one plan, however many anchors there are. A task holds one chunk and lets the anchors stream past
+    it in blocks of ``ANCHOR_BLOCK``; of the pairs only the best n of an anchor and a chunk leave the task.
     """
     labels = [c for c in CATEGORICAL + LOCATION if c in df.columns]
-    scored = materialise(
-        with_scores(df).select(
-            "listing_id", "z.*", "norm", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in labels]
-        ),
-        "scored",
-    )
-    ids = materialise(anchors.select(F.col("anchor_id").alias("listing_id")).distinct(), "anchors")
-    blocks = -(-ids.count() // ANCHOR_BLOCK)
-    schema = "anchor_id bigint, listing_id bigint, score double"
-    found = []
-    for block in range(blocks):
-        chosen = ids.where(F.pmod(F.xxhash64("listing_id"), F.lit(blocks)) == block)
-        rows = scored.join(chosen, "listing_id", "left_semi").toPandas()
-        found.append(scored.mapInPandas(_best_per_anchor(rows, top_n, weights), schema))
-    if not found:
-        return df.sparkSession.createDataFrame([], "anchor_id bigint, Rank int, listing_id bigint, SimilarityScore double")
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in labels]
+    scored = materialise(with_scores(df).select("listing_id", "z.*", "norm", *texts), "scored")
+    ids = anchors.select(F.col("anchor_id").alias("listing_id")).distinct()
+    chunks = scored.count() // CHUNK_ROWS + 1
+    dealt = scored.withColumns({"chunk": F.pmod(F.xxhash64("listing_id"), F.lit(chunks)), "is_anchor": F.lit(False)})
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>"))
+    picked = scored.join(ids, "listing_id", "left_semi").withColumns({"chunk": every, "is_anchor": F.lit(True)})
+    together = dealt.unionByName(picked).repartition("chunk").sortWithinPartitions("chunk", "is_anchor", "listing_id")
+    found = together.mapInPandas(_best_per_chunk(top_n, weights), "anchor_id bigint, listing_id bigint, score double")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "listing_id")
     return (
-        reduce(DataFrame.unionByName, found)
-        .withColumn("Rank", F.row_number().over(order))
+        found.withColumn("Rank", F.row_number().over(order))
         .where(F.col("Rank") <= top_n)
         .select("anchor_id", "Rank", "listing_id", round_exact(F.col("score"), 4).alias("SimilarityScore"))
     )
 
 
-def _best_per_anchor(anchors: pd.DataFrame, top_n: int, weights: tuple[float, float, float]):
-    """A ``mapInPandas`` function keeping the best rows per anchor of one partition."""
-    numeric, categorical, location = weights
-    measures = [c for c in NUMERIC if c in anchors.columns]
-    labels = [c for c in CATEGORICAL if c in anchors.columns]
+class Chunk:
+    """Listings that a task holds, ready to be compared with blocks of anchors."""
+
+    def __init__(self, rows: pd.DataFrame, top_n: int, weights: tuple[float, float, float]) -> None:
+        self.ids, self.top_n, self.weights = rows["listing_id"].to_numpy(), top_n, weights
+        self.measures = [c for c in NUMERIC if c in rows.columns]
+        self.directions = self.unit(rows)
+        self.known = {c: pd.Index(rows[c].unique()) for c in CATEGORICAL + LOCATION if c in rows.columns}
+        self.codes = {c: index.get_indexer(rows[c]) for c, index in self.known.items()}
 
-    def unit(rows: pd.DataFrame) -> np.ndarray:
+    def unit(self, rows: pd.DataFrame) -> np.ndarray:
         length = rows["norm"].to_numpy()[:, None]
-        return np.divide(rows[measures].to_numpy(), length, out=np.zeros((len(rows), len(measures))), where=length > 0)
+        return np.divide(rows[self.measures].to_numpy(), length, out=np.zeros((len(rows), len(self.measures))), where=length > 0)
 
-    def shared(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
-        equal = [rows[c].to_numpy()[:, None] == anchors[c].to_numpy()[None, :] for c in columns]
+    def shared(self, anchors: pd.DataFrame, columns: list[str]) -> np.ndarray:
+        """Share of equal labels; a label that no listing of the chunk has equals none."""
+        columns = [c for c in columns if c in self.known]
+        equal = [self.codes[c][:, None] == self.known[c].get_indexer(anchors[c])[None, :] for c in columns]
         return np.sum(equal, axis=0) / len(columns)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(self, anchors: pd.DataFrame) -> pd.DataFrame:
+        """The best rows of the chunk for every anchor, ties with the last of them included."""
         ids = anchors["listing_id"].to_numpy()
-        goal = unit(anchors).T
-        kept = pd.DataFrame({"anchor_id": [], "listing_id": [], "score": []}).astype(
-            {"anchor_id": "int64", "listing_id": "int64", "score": "float64"}
-        )
-        for rows in batches:
-            score = numeric * (unit(rows) @ goal) + categorical * shared(rows, labels) + location * shared(rows, LOCATION)
-            own = rows["listing_id"].to_numpy()
-            score[own[:, None] == ids[None, :]] = -np.inf
-            if len(rows) > top_n:
-                # Rows tied with the n-th best stay, so that the id can decide.
-                floor = np.partition(score, len(rows) - top_n, axis=0)[len(rows) - top_n]
-                row, anchor = np.nonzero((score >= floor) & np.isfinite(score))
-            else:
-                row, anchor = np.nonzero(np.isfinite(score))
-            fresh = pd.DataFrame({"anchor_id": ids[anchor], "listing_id": own[row], "score": score[row, anchor]})
-            kept = pd.concat([kept, fresh]).sort_values(["score", "listing_id"], ascending=[False, True]).groupby("anchor_id").head(top_n)
-        yield kept
-
-    return best
+        numeric, categorical, location = self.weights
+        score = numeric * (self.directions @ self.unit(anchors).T)
+        score += categorical * self.shared(anchors, CATEGORICAL) + location * self.shared(anchors, LOCATION)
+        score[self.ids[:, None] == ids[None, :]] = -np.inf
+        kept = np.isfinite(score)
+        if len(score) > self.top_n:
+            kept &= score >= np.partition(score, len(score) - self.top_n, axis=0)[len(score) - self.top_n]
+        row, anchor = np.nonzero(kept)
+        found = pd.DataFrame({"anchor_id": ids[anchor], "listing_id": self.ids[row], "score": score[row, anchor]})
+        ranked = found.sort_values(["score", "listing_id"], ascending=[False, True])
+        return ranked.groupby("anchor_id", sort=False).head(self.top_n)
+
+
+def _best_per_chunk(top_n: int, weights: tuple[float, float, float]):
+    """A ``mapInPandas`` function over rows sorted by chunk, listings before anchors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        number, chunk = None, None
+        for batch in batches:
+            for (at, is_anchor), rows in batch.groupby(["chunk", "is_anchor"], sort=True):
+                if at != number:
+                    number, chunk, held = at, None, []
+                if not is_anchor:
+                    held.append(rows)
+                elif held:
+                    chunk = chunk or Chunk(pd.concat(held), top_n, weights)
+                    for first in range(0, len(rows), ANCHOR_BLOCK):
+                        yield chunk.best(rows.iloc[first : first + ANCHOR_BLOCK])
+
+    return run

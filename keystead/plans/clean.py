@@ -69,8 +69,8 @@ def clean(raw: DataFrame) -> DataFrame:
     ``raw`` carries ``listing_id``, ``city`` and ``property_type``; ids are
     compared, and bathrooms filled, within each (city, type) source.
     """
-    kept = deduplicated(typed_listings(raw)).dropna(subset=CORE).select(*CLEAN.names)
-    return fill_bathrooms(materialise(kept, "typed"))
+    typed = materialise(typed_listings(raw), "typed")
+    return fill_bathrooms(deduplicated(typed).dropna(subset=CORE).select(*CLEAN.names))
 
 
 def merge(cleaned: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def source_counts(df: DataFrame) -> DataFrame:
 def repair(raw: DataFrame) -> DataFrame:
     """A raw table with recovered texts, without empty rows and repeated ids."""
     kept = with_facts(raw).where(~is_empty_listing(F.col("facts"), F.col("rate")))
-    return first_per_key(recover(kept).drop("facts"), ["property_id"])
+    return first_per_key(materialise(recover(kept).drop("facts"), "repaired"), ["property_id"])
 
 
 def repair_counts(raw: DataFrame) -> DataFrame:
@@ -110,7 +110,8 @@ def clean_funnel(raw: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows_read"), F.count_if(~core).alias("dropped_empty")
     )
     # only what is counted goes through the de-duplication
-    unique = deduplicated(typed_listings(raw).select("listing_id", "property_id", *SOURCE, *CORE)).select(*SOURCE, *CORE)
+    counted = materialise(typed_listings(raw).select("listing_id", "property_id", *SOURCE, *CORE), "typed")
+    unique = deduplicated(counted).select(*SOURCE, *CORE)
     lacking = F.col("price").isNull() | F.col("bedRoom").isNull() | F.col("area").isNull()
     kept = unique.groupBy(*SOURCE).agg(
         F.count(F.lit(1)).alias("unique_rows"), F.count_if(lacking).alias("dropped_core")

@@ -157,11 +157,41 @@ def rank(fitted: DriverModel) -> int:
     return int(np.linalg.matrix_rank(scatter(fitted) / np.outer(scale, scale), tol=1e-9, hermitian=True))
 
 
+def student_tail(t: float, df: float) -> float:
+    """Chance that a t-distributed number lies further from 0 than ``t``: an incomplete beta function."""
+    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction on the side where it converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+    def terms():
+        """Numerators of the fraction 1/(1 + t1/(1 + t2/(1 + ...)))."""
+        for m in range(100_000):
+            yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            yield (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+
+    # the value up to a term is a product of ratios of neighbouring numerators and denominators
+    value, over, under = 1.0, 1.0, 0.0
+    for n, term in enumerate(terms()):
+        under = 1 / (1 + term * under) if n else 1 / (1 + term)
+        over = 1 + term / over if n else 1.0
+        value *= under * over
+        if n and abs(under * over - 1) < 1e-15:
+            break
+    return front * value
+
+
 def coefficient_table(fitted: DriverModel) -> DataFrame:
     """(feature, coef, std_error, t, p) of a least-squares fit on the standardised scale (A-M12).
 
     Collinear features share what they explain, as the pseudo-inverse divides it.
-    The p-value is two-sided, from the normal limit of the t distribution.
+    The p-value is two-sided, from the t distribution.
     """
     errors = fitted.model.transform(fitted.rows)
     residual = F.col("label") - F.col("prediction")
@@ -173,7 +203,7 @@ def coefficient_table(fitted: DriverModel) -> DataFrame:
     rows = []
     for name, coef, error in zip(fitted.names, fitted.coefficients, spread, strict=True):
         t = float(coef / error) if error > 0 else None
-        rows.append((name, float(coef), float(error), t, None if t is None else math.erfc(abs(t) / math.sqrt(2))))
+        rows.append((name, float(coef), float(error), t, None if t is None else student_tail(t, left)))
     return fitted.spark.createDataFrame(rows, "feature string, coef double, std_error double, t double, p double")
 
 

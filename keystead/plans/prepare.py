@@ -93,8 +93,8 @@ def prepare(
     written; rows are written where a stage needs a statistic of the very rows
     it then changes.
     """
-    typed = row_features(typed_listings(raw), aliases, weights)
-    kept = materialise(deduplicated(typed).dropna(subset=CORE).drop("property_id"), "typed")
+    typed = materialise(row_features(typed_listings(raw), aliases, weights), "typed")
+    kept = deduplicated(typed).dropna(subset=CORE).drop("property_id")
     filled = fill_bathrooms(kept).where(F.col("sector").isNotNull())
     frequent = frequent_groups(filled, "sector", min_count)
     featured = furnishing_levels(frequent).drop("furnishDetails")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -12,12 +14,15 @@ from pyspark.sql import functions as F
 from keystead.functions.labels import FURNISHING_LABELS, implied_rate, log_price, price_band, price_from_log, recode
 from keystead.functions.numeric import round_exact
 from keystead.functions.place import city_of
-from keystead.operators.rows import fold_of, holdout
+from keystead.operators.rows import fold_of, is_held_out
+from keystead.plans import store
 from keystead.plans.encode import drop_helpers, fit_encoder
 from keystead.storage import materialise
 
 NUMBERS = ["bedRoom", "bathroom", "built_up_area", "servant room", "store room"]
 CATEGORIES = ["property_type", "sector", "balcony", "agePossession", "furnishing_type", "luxury_category", "floor_category"]
+ROWS_PER_TASK = 20_000
+FITS_AT_ONCE = 8
 # What a predict request may leave out.
 REQUEST_DEFAULTS = {
     "servant room": 0,
@@ -81,21 +86,60 @@ def _outcome(model: PipelineModel, rows: DataFrame) -> tuple[float, float, float
     return 1 - sums["se"] / sums["st"], 1 - sums["pse"] / sums["pst"], sums["mae"]
 
 
+def encoded(df: DataFrame, folds: int = 10) -> DataFrame:
+    """listing_id, label, fold, held_out, features: encoded once and written, for every fit of a comparison (A-M1, A-M6).
+
+    Levels that only a fold's test rows have are columns without a value in its training rows, which no model
+    uses: they count as the base level, as if the encoder had been fitted on the fold. The table is dealt by the
+    number of its rows, so a fit runs in as many tasks as it has work for.
+    """
+    train = training_frame(df)
+    categories = categorical_columns(train)
+    *steps, _ = fit_encoder(train, categories, NUMBERS).stages
+    numbers = VectorAssembler(inputCols=NUMBERS, outputCol="numbers")
+    coded = PipelineModel([*steps, numbers]).transform(train)
+    scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True).fit(coded)
+    features = VectorAssembler(inputCols=["scaled", *[f"code {c}" for c in categories]], outputCol="features")
+    rows = features.transform(scaler.transform(coded)).withColumns({"fold": fold_of(folds=folds), "held_out": is_held_out()})
+    rows = materialise(rows.select("listing_id", "label", "fold", "held_out", "features"), "encoded")
+    tasks = rows.count() // ROWS_PER_TASK + 1
+    dealt = rows.repartition(tasks, "listing_id").sortWithinPartitions("listing_id")
+    return materialise(dealt, "encoded")
+
+
+def fold_outcomes(rows: DataFrame, estimators: dict[str, Estimator], folds: int = 10) -> dict[str, list[tuple[float, float, float]]]:
+    """Outcomes of every estimator on each fold and, last, on the held-out fifth (A-M6).
+
+    The fits do not depend on each other, so they are submitted side by side: while one waits for the driver
+    between two of its many small jobs, the tasks of others run.
+    """
+
+    def outcome(job: tuple[str, int]) -> tuple[float, float, float]:
+        name, fold = job
+        test = F.col("fold") == fold if fold < folds else F.col("held_out")
+        model = estimators[name].copy().fit(rows.where(~test))
+        return _outcome(model, rows.where(test))
+
+    jobs = [(name, fold) for name in estimators for fold in range(folds + 1)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        found = dict(zip(jobs, pool.map(outcome, jobs, chunksize=1), strict=True))
+    return {name: [found[name, fold] for fold in range(folds + 1)] for name in estimators}
+
+
 def cv_score(train: DataFrame, estimator: Estimator, folds: int = 10) -> tuple[float, float, float]:
     """Mean and deviation of R² over folds, and the error on a held-out fifth in crore (A-M6)."""
-    folded = train.withColumn("fold", fold_of(folds=folds))
-    scores = []
-    for fold in range(folds):
-        model = fit(folded.where(F.col("fold") != fold), estimator)
-        scores.append(_outcome(model, folded.where(F.col("fold") == fold))[0])
-    most, rest = holdout(train)
-    return float(np.mean(scores)), float(np.std(scores)), _outcome(fit(most, estimator), rest)[2]
+    return _score(fold_outcomes(encoded(train, folds), {"": estimator}, folds)[""])
+
+
+def _score(outcomes: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    r2 = [one[0] for one in outcomes[:-1]]
+    return float(np.mean(r2)), float(np.std(r2)), outcomes[-1][2]
 
 
 def compare(df: DataFrame, estimators: dict[str, Estimator], folds: int = 10) -> DataFrame:
     """One row per model with its scores, the winner by mean R² marked (A-M7)."""
-    train = materialise(training_frame(df), "training")
-    rows = [(name, *cv_score(train, estimator, folds)) for name, estimator in estimators.items()]
+    found = fold_outcomes(encoded(df, folds), estimators, folds)
+    rows = [(name, *_score(outcomes)) for name, outcomes in found.items()]
     best = max(rows, key=lambda r: r[1])[0]
     return df.sparkSession.createDataFrame(
         [(*r, r[0] == best) for r in rows], "model string, r2_mean double, r2_std double, mae double, winner boolean"
@@ -110,14 +154,6 @@ def fit_final(df: DataFrame, estimator: Estimator) -> tuple[PipelineModel, DataF
     return model, df.sparkSession.createDataFrame([(r2, mae)], "train_r2 double, train_mae double")
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 def expects_city(model: PipelineModel) -> bool:
     """Whether the model was fitted with the city."""
     first = model.stages[0]
@@ -147,11 +183,4 @@ def predict(model: PipelineModel, requests: DataFrame) -> DataFrame:
 
 def load_or_fit(spark: SparkSession, path: str, df: DataFrame, estimator: Estimator) -> PipelineModel:
     """The saved model, or a new one fitted and saved if there is none."""
-    try:
-        return load(path)
-    except Exception as err:  # the loader's error type depends on the file system
-        if "does not exist" not in str(err):
-            raise
-        model, _ = fit_final(df, estimator)
-        save(model, path)
-        return model
+    return store.load_or_fit(spark, path, lambda: fit_final(df, estimator)[0])

@@ -69,10 +69,32 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df.written_to)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it does not exist."""
+    place, files = _place(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark."""
+    place, files = _place(spark, path)
+    files.create(place, True).close()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystead.functions import features as ft
@@ -12,9 +15,10 @@ from keystead.functions import labels as lb
 from keystead.functions import place as pl
 from keystead.functions import text as tx
 from keystead.operators import furnish, geo, impute, market, outliers, pages, recover, rows, similar
-from keystead.plans import clean, drivers, prepare, price
+from keystead.plans import clean, drivers, encode, prepare, price, store
 from keystead.schemas import FINAL as FINAL_SCHEMA
 from keystead.sources.dims import gazetteer
+from keystead.sources.keyed_sink import append_keyed, read_keyed
 from keystead.sources.order_listings import raw_listings, raw_listings_of
 from keystead.sources.order_pages import ORDER_PAGES_SQL, order_pages
 from keystead.sources.tables import (
@@ -27,7 +31,7 @@ from keystead.sources.tables import (
     write_by_city_and_kind,
     write_stage,
 )
-from keystead.storage import materialise, new_path
+from keystead.storage import delete, materialise, new_path
 from keystead.streaming import ingest
 from oracle import listings as sql
 from oracle.listings import GAZETTEER, over, q
@@ -58,6 +62,7 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "featured": lambda s, d: prepare.featurise_texts(stage(s, d, "located")),
     "treated": lambda s, d: outliers.treat_outliers(stage(s, d, "featured").drop(*prepare.TEXT_DROPS)),
     "final": lambda s, d: prepare.prepare(raw_listings(s, d)),
+    "ruled": lambda s, d: _with_bands(s, d),
 }
 
 
@@ -77,9 +82,14 @@ def final(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, folder, "final")
 
 
-def unclustered(spark: SparkSession, folder: str) -> DataFrame:
-    """The final table without the one column that comes from clustering."""
-    return final(spark, folder).drop("furnishing_type")
+def ruled(spark: SparkSession, folder: str) -> DataFrame:
+    """The final table with furnishing levels by the number of items instead of clusters."""
+    return stage(spark, folder, "ruled")
+
+
+def _with_bands(spark: SparkSession, folder: str) -> DataFrame:
+    bands_ = stage(spark, folder, "merged").select("listing_id", furnish.furnishing_band(F.col("furnishDetails")).alias("furnishing_type"))
+    return final(spark, folder).drop("furnishing_type").join(bands_, "listing_id")
 
 
 def r6(c) -> F.Column:
@@ -354,6 +364,28 @@ def furnish_counts(spark, folder):
     return furnish.furnish_counts(raw_listings(spark, folder))
 
 
+@query(
+    "furnish_scaled",
+    over(
+        "located",
+        f"""SELECT listing_id, item, {s6('n / std')} AS value FROM counted JOIN (
+          SELECT item, sqrt(greatest(sum(n * n * weight) / w - (sum(n * weight) / w) ** 2, 0)) AS std FROM counted, (SELECT sum(weight) AS w FROM texts) GROUP BY item, w) USING (item)
+        WHERE std > 1e-9""",
+        [
+            ("texts", """SELECT coalesce("furnishDetails", '') AS t, min(listing_id) AS listing_id, CAST(count(*) AS DOUBLE) AS weight FROM located GROUP BY ALL"""),
+            ("items", r"SELECT DISTINCT item FROM (SELECT trim(regexp_replace(unnest(string_split(replace(replace(replace(t, '[', ''), ']', ''), '''', ''), ', ')), 'No |\d+', '', 'g')) AS item FROM texts) WHERE item <> ''"),
+            ("counted", r"""SELECT * FROM (SELECT listing_id, weight, item, coalesce(TRY_CAST(regexp_extract(t, concat('(\d+) ', item), 1) AS INTEGER), 1) AS n
+              FROM texts, items WHERE contains(t, item) AND NOT contains(t, concat('No ', item))) WHERE n > 0"""),
+        ],
+    ),
+)
+def furnish_scaled(spark, folder):
+    """What the clusters are made of: item counts of the distinct texts in units of their deviation, shown at the first listing of a text."""
+    located = stage(spark, folder, "located")
+    shown = located.groupBy(F.coalesce("furnishDetails", F.lit("")).alias("text")).agg(F.min("listing_id").alias("listing_id"))
+    return furnish.scaled_counts(furnish.distinct_texts(located)).join(shown, "text").select("listing_id", "item", r6(F.col("value")).alias("value"))
+
+
 @query("furnish_clusters")
 def furnish_clusters(spark, folder):
     return furnish.furnishing_levels(stage(spark, folder, "located")).select("listing_id", "furnishing_type")
@@ -504,7 +536,7 @@ def sector_profile(spark, folder):
 MAP_SQL = f"""SELECT sector, city, n, {s6('price')} AS price, {s6('area')} AS area, price_per_sqft, lat, lon,
   CAST(trunc(share * 250 + 50) AS INTEGER) AS size, CAST(trunc(share * 255) AS INTEGER) AS red, CAST(trunc((1 - share) * 255) AS INTEGER) AS blue FROM (
   SELECT *, ({{m}} - min({{m}}) OVER ()) / (max({{m}}) OVER () - min({{m}}) OVER () + 1e-9) AS share FROM (
-    SELECT profile.*, lat, lon FROM profile JOIN coords USING (sector, city) ORDER BY sector LIMIT 1500))"""
+    SELECT profile.*, lat, lon FROM profile JOIN coords USING (sector, city)))"""
 
 
 def _map_sql(metric: str) -> str:
@@ -670,10 +702,25 @@ def score_stats(spark, folder):
     return stats.withColumns({"mean": r6(F.col("mean")), "std": r6(F.col("std"))})
 
 
-@query("sample_points")
+def _drawn(seed: int, key: str = "listing_id") -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 15) AS BIGINT)"
+
+
+@query("sample_points", over("final", f"SELECT listing_id, built_up_area, price, property_type FROM final ORDER BY {_drawn(42)}, listing_id LIMIT 100"))
 def sample_points(spark, folder):
     points = final(spark, folder).select("listing_id", "built_up_area", "price", "property_type")
-    return rows.seeded_sample(points, 1500)
+    return rows.seeded_sample(points, 100)
+
+
+@query("shuffled_order", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_drawn(7, 'o_orderkey')}, o_orderkey) AS place FROM orders")
+def shuffled_order(spark, folder):
+    """All orders in a random order that any engine repeats."""
+    return rows.random_places(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), "o_orderkey", seed=7)
+
+
+@query("folds", over("merged", f"SELECT listing_id, CAST({_drawn(42)} % 10 AS INTEGER) AS fold, {_drawn(43)} % 1000 < 200 AS held_out FROM merged"))
+def folds(spark, folder):
+    return stage(spark, folder, "merged").select("listing_id", rows.fold_of().alias("fold"), rows.is_held_out().alias("held_out"))
 
 
 @query(
@@ -693,17 +740,23 @@ def price_display(spark, folder):
 
 # ---------------------------------------------------------------- similarity
 
+RULED = (
+    "ruled",
+    r"""SELECT final.*, CAST(CASE WHEN n <= 2 THEN 0 WHEN n <= 5 THEN 1 ELSE 2 END AS INTEGER) AS furnishing_type FROM final JOIN (
+      SELECT listing_id, coalesce(len(list_filter(list_transform(string_split(regexp_replace("furnishDetails", '[\[\]'']', '', 'g'), ', '), lambda x: trim(x)),
+        lambda x: x <> '' AND NOT starts_with(x, 'No '))), 0) AS n FROM merged) USING (listing_id)""",
+)
 SCORED = [
-    ("stat", "SELECT " + ", ".join(f'avg("{c}") AS "m {c}", stddev_pop("{c}") AS "s {c}"' for c in similar.NUMERIC) + " FROM final"),
-    ("z", "SELECT final.*, " + ", ".join(f'CASE WHEN "s {c}" > 0 THEN ("{c}" - "m {c}") / "s {c}" ELSE 0 END AS z{i}' for i, c in enumerate(similar.NUMERIC)) + " FROM final, stat"),
+    RULED,
+    ("stat", "SELECT " + ", ".join(f'avg("{c}") AS "m {c}", stddev_pop("{c}") AS "s {c}"' for c in similar.NUMERIC) + " FROM ruled"),
+    ("z", "SELECT ruled.*, " + ", ".join(f'CASE WHEN "s {c}" > 0 THEN ("{c}" - "m {c}") / "s {c}" ELSE 0 END AS z{i}' for i, c in enumerate(similar.NUMERIC)) + " FROM ruled, stat"),
     ("scored", "SELECT *, sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(6)) + ") AS norm FROM z"),
 ]
 
 
 def _score(weights: tuple[float, float, float]) -> str:
     num = "CASE WHEN a.norm * b.norm > 0 THEN (" + " + ".join(f"a.z{i} * b.z{i}" for i in range(6)) + ") / (a.norm * b.norm) ELSE 0 END"
-    labels = [c for c in similar.CATEGORICAL if c != "furnishing_type"]
-    cat = "(" + " + ".join(f"CAST(a.{c} = b.{c} AS INTEGER)" for c in labels) + f") / {len(labels)}.0"
+    cat = "(" + " + ".join(f"CAST(a.{c} = b.{c} AS INTEGER)" for c in similar.CATEGORICAL) + f") / {len(similar.CATEGORICAL)}.0"
     loc = "(CAST(a.sector = b.sector AS INTEGER) + CAST(a.city = b.city AS INTEGER)) / 2.0"
     return f"{weights[0]} * ({num}) + {weights[1]} * {cat} + {weights[2]} * {loc}"
 
@@ -729,19 +782,19 @@ RESULT = ["Rank", "listing_id", "sector", "price", "SimilarityScore"]
 
 @query("recommend_filters", _recommend_sql("city = 'bangalore' AND property_type = 'flat' AND bedRoom = 3 AND price <= 3.0", True))
 def recommend_filters(spark, folder):
-    table = unclustered(spark, folder)
+    table = ruled(spark, folder)
     return similar.recommend_by_filters(table, city="bangalore", property_type="flat", bedrooms=3, budget_max=3.0).select(*RESULT)
 
 
 @query("recommend", _recommend_sql("true", False, top_n=10))
 def recommend(spark, folder):
-    table = unclustered(spark, folder)
+    table = ruled(spark, folder)
     return similar.recommend(table, similar.median_anchor(table), top_n=10).select(*RESULT)
 
 
 @query("recommend_weights", _recommend_sql("city = 'gurgaon' AND property_type = 'house'", True, (1.0, 0.0, 0.0)))
 def recommend_weights(spark, folder):
-    table = unclustered(spark, folder)
+    table = ruled(spark, folder)
     return similar.recommend_by_filters(table, city="gurgaon", property_type="house", weights=(1.0, 0.0, 0.0)).select(*RESULT)
 
 
@@ -750,7 +803,7 @@ def recommend_weights(spark, folder):
     _recommend_sql("city = 'gurgaon'", True).replace('SELECT CAST(row_number()', 'SELECT count(*) AS matches, max("SimilarityScore") AS top_score, round_even(avg("SimilarityScore") * 1e6, 0) / 1e6 AS avg_score FROM (SELECT CAST(row_number()') + ")",
 )
 def recommend_summary(spark, folder):
-    results = similar.recommend_by_filters(unclustered(spark, folder), city="gurgaon")
+    results = similar.recommend_by_filters(ruled(spark, folder), city="gurgaon")
     return market.result_summary(results).withColumn("avg_score", r6(F.col("avg_score")))
 
 
@@ -772,7 +825,7 @@ ANCHORS = (
     ),
 )
 def similar_pairs(spark, folder):
-    table = unclustered(spark, folder)
+    table = ruled(spark, folder)
     return similar.similar_to_each(table, similar.group_anchors(table, ["sector", "city"]))
 
 
@@ -833,6 +886,126 @@ def driver_single(spark, folder):
     return row.withColumn("coef", coef.scalar()).withColumn("price_pct", percent)
 
 
+PAIR = ["built_up_area", "bathroom"]
+MOMENTS = (
+    "moments",
+    """SELECT n, syy, s11, s22, s12, s1y, s2y, s11 * s22 - s12 * s12 AS det FROM (SELECT count(*) AS n, regr_syy(y, a) AS syy, regr_sxx(y, a) AS s11,
+      regr_sxx(y, b) AS s22, regr_sxy(a, b) AS s12, regr_sxy(y, a) AS s1y, regr_sxy(y, b) AS s2y
+      FROM (SELECT ln(1 + price) AS y, built_up_area AS a, CAST(bathroom AS DOUBLE) AS b FROM final WHERE city = 'gurgaon'))""",
+)
+SLOPES = (
+    "slopes",
+    """SELECT *, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS noise, sqrt(s11 / n) AS d1, sqrt(s22 / n) AS d2 FROM (
+      SELECT *, (s22 * s1y - s12 * s2y) / det AS b1, (s11 * s2y - s12 * s1y) / det AS b2 FROM moments)""",
+)
+
+
+@query(
+    "driver_pair_table",
+    over(
+        "final",
+        f"""SELECT feature, {s6('coef')} AS coef, {s6('std_error')} AS std_error, {s6('coef / std_error')} AS t, {s6("1 - t_within")} AS p FROM (
+        SELECT *, CASE WHEN v % 2 = 0 THEN s * (1 + coalesce(even, 0)) ELSE 2 / pi() * (atan(x) + s * sqrt(c2) * (1 + coalesce(odd, 0))) END AS t_within FROM (
+          SELECT *, (SELECT sum(exp(l) * c2 ** j) FROM factors WHERE j < v / 2 AND kind = 0) AS even,
+            (SELECT sum(exp(l) * c2 ** j) FROM factors WHERE j <= (v - 3) / 2 AND kind = 1) AS odd FROM (
+              SELECT *, x / sqrt(1 + x * x) AS s, 1 / (1 + x * x) AS c2 FROM (
+                SELECT *, n - 3 AS v, abs(coef / std_error) / sqrt(n - 3) AS x FROM sides))))""",
+        [
+            MOMENTS,
+            SLOPES,
+            ("sides", """SELECT 'built_up_area' AS feature, b1 * d1 AS coef, sqrt(noise * s22 / det) * d1 AS std_error, n FROM slopes
+              UNION ALL SELECT 'bathroom', b2 * d2, sqrt(noise * s11 / det) * d2, n FROM slopes"""),
+            ("factors", """SELECT 0 AS kind, j, sum(ln((2 * j - 1) / (2.0 * j))) OVER (ORDER BY j) AS l FROM range(1, 20000) AS r(j)
+              UNION ALL SELECT 1, j, sum(ln((2.0 * j) / (2 * j + 1))) OVER (ORDER BY j) FROM range(1, 20000) AS r(j)"""),
+        ],
+    ),
+)
+def driver_pair_table(spark, folder):
+    """Least squares on two features: coefficients, errors, t and its p from the t distribution."""
+    found = drivers.coefficient_table(drivers.fit_drivers(final(spark, folder), "gurgaon", 0.0, PAIR, []))
+    return found.withColumns({c: r6(F.col(c)) for c in ("coef", "std_error", "t", "p")})
+
+
+@query(
+    "driver_pair_ridge",
+    over(
+        "final",
+        f"""SELECT feature, {s6('c')} AS coefficient, {s6('abs(c)')} AS abs_coef, CASE WHEN c > 0 THEN '+' ELSE '-' END AS direction,
+        CAST(row_number() OVER (ORDER BY abs(c) DESC, feature) AS INTEGER) AS place FROM (
+          SELECT unnest(['built_up_area', 'bathroom']) AS feature, unnest([((n + 50) * z1 - n * r * z2) / d, ((n + 50) * z2 - n * r * z1) / d]) AS c FROM (
+            SELECT *, (n + 50) * (n + 50) - n * r * n * r AS d FROM (
+              SELECT n, s12 / sqrt(s11 * s22) AS r, s1y / sqrt(s11 / n) AS z1, s2y / sqrt(s22 / n) AS z2 FROM moments)))""",
+        [MOMENTS],
+    ),
+)
+def driver_pair_ridge(spark, folder):
+    """Ridge with a penalty of 50 on two standardised features, in the order of the importance table."""
+    found = drivers.importance(drivers.fit_drivers(final(spark, folder), "gurgaon", 50.0, PAIR, []))
+    place = F.row_number().over(Window.orderBy(F.desc("abs_coef"), "feature"))
+    return found.withColumn("place", place).withColumns({c: r6(F.col(c)) for c in ("coefficient", "abs_coef")})
+
+
+CODED = ["city", *price.CATEGORIES]
+CELLS = [
+    RULED,
+    ("cells", " UNION ALL ".join(f"SELECT listing_id, city AS of_city, '{c}' AS col, CAST({c} AS VARCHAR) AS level FROM ruled" for c in CODED)),
+    ("known", "SELECT DISTINCT col, level FROM cells WHERE of_city = 'gurgaon' AND level IS NOT NULL"),
+    ("coded", "SELECT col, level, row_number() OVER (PARTITION BY col ORDER BY level) - 1 AS position FROM known"),
+]
+
+
+@query("one_hot_rows", over("final", "SELECT listing_id, col || '_' || level AS feature, CAST(1 AS DOUBLE) AS value FROM cells JOIN coded USING (col, level) WHERE position > 0", CELLS))
+def one_hot_rows(spark, folder):
+    """Levels of one city, codes of the listings of both: unknown levels and base levels have no row."""
+    table = ruled(spark, folder)
+    levels = encode.level_table(table.where("city = 'gurgaon'"), CODED)
+    return encode.one_hot(table, levels, CODED)
+
+
+@query(
+    "feature_names",
+    over(
+        "final",
+        """SELECT col || '_' || level AS feature, CASE col WHEN 'sector' THEN '📍 ' || level WHEN 'agePossession' THEN '🕒 Age: ' || level ELSE col || '_' || level END AS readable,
+        CAST(position AS INTEGER) AS position FROM coded WHERE position > 0 AND col NOT IN ('balcony', 'luxury_category')""",
+        CELLS,
+    ),
+)
+def feature_names(spark, folder):
+    """Encoded features as people read them, without two columns."""
+    levels = encode.level_table(ruled(spark, folder).where("city = 'gurgaon'"), CODED).where("position > 0")
+    shown = rows.without_prefixes(levels, "feature", ["balcony_", "luxury_category_"])
+    return shown.select("feature", lb.readable_feature(F.col("feature")).alias("readable"), "position")
+
+
+@query(
+    "stored_model",
+    over(
+        "final",
+        """SELECT listing_id, guess AS predicted_price, CAST(format('{:.2f}', guess * 0.9) AS DOUBLE) AS low, CAST(format('{:.2f}', guess * 1.1) AS DOUBLE) AS high,
+        CAST(trunc(guess * 1e7 / built_up_area) AS BIGINT) AS rate, 0 AS "servant room", 'unfurnished' AS furnishing_type, 'Low' AS luxury_category, 'Mid Floor' AS floor_category
+        FROM (SELECT listing_id, built_up_area, round_even((exp(a + b * built_up_area) - 1) * 100, 0) / 100 AS guess
+              FROM final, (SELECT regr_slope(ln(1 + price), built_up_area) AS b, regr_intercept(ln(1 + price), built_up_area) AS a FROM final))""",
+    ),
+)
+def stored_model(spark, folder):
+    """A least-squares model fitted once, stored, loaded and asked for the price of requests that leave columns out.
+
+    A later write that was torn is not read.
+    """
+    table, path = final(spark, folder), new_path(spark, "model")
+    area = VectorAssembler(inputCols=["built_up_area"], outputCol="features")
+    fitted = Pipeline(stages=[area, LinearRegression(solver="normal")]).fit(price.training_frame(table))
+    torn = store.save(spark, fitted, path)
+    delete(spark, f"{torn}/{store.WHOLE}")
+    delete(spark, f"{torn}/model/stages")
+    store.save(spark, fitted, path)
+    model = store.load_or_fit(spark, path, lambda: None)
+    priced = price.predict(model, table.select("listing_id", "sector", "built_up_area"))
+    asked = ["servant room", "furnishing_type", "luxury_category", "floor_category"]
+    return priced.select("listing_id", "predicted_price", "likely.low", "likely.high", "rate", *asked)
+
+
 @query(
     "driver_single_table",
     over(
@@ -1133,7 +1306,21 @@ def ingest_new(spark, folder):
     sink = new_path(spark, "sink")
     run = ingest.ingest(raw_listings_of(arriving, customer, nation), sink, new_path(spark, "ingest-checkpoint"))
     run.awaitTermination()
-    return spark.read.parquet(sink).select("listing_id", "property_id", "city", "price")
+    return read_keyed(spark, sink).select("listing_id", "property_id", "city", "price")
+
+
+@query(
+    "keyed_sink",
+    over("raw", """SELECT property_id, listing_id, city FROM raw
+      QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY listing_id % 3 = 2, listing_id % 3, listing_id) = 1"""),
+)
+def keyed_sink(spark, folder):
+    """A third of the listings, another third, then all of them twice: every key is taken from the first batch that has it."""
+    raw = raw_listings(spark, folder).select("listing_id", "property_id", "city")
+    path, third = new_path(spark, "keyed"), F.col("listing_id") % 3
+    for part in (raw.where(third == 0), raw.where(third == 1), raw, raw):
+        append_keyed(rows.first_per_key(part, ["property_id"]), path, "property_id")
+    return read_keyed(spark, path).select("property_id", "listing_id", "city")
 
 
 @query("stream_dedup", "SELECT DISTINCT event_id FROM events")
@@ -1150,6 +1337,32 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(sink).select("event_id")
 
 
+FEED = """WITH days AS (SELECT *, date_diff('day', CAST(min(ts) OVER () AS DATE), CAST(ts AS DATE)) // 5 AS own FROM events),
+feed AS (SELECT own AS file, * FROM days UNION ALL SELECT own + 1, * FROM days WHERE event_id % 7 = 0 AND own < 5
+         UNION ALL SELECT own + 2, * FROM days WHERE event_id % 11 = 0 AND own < 4),
+marks AS (SELECT file, max(max(epoch_ms(ts))) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS mark FROM feed GROUP BY file),
+told AS (SELECT event_id, file, coalesce(epoch_ms(ts) < mark, false) AS late FROM feed JOIN marks USING (file))
+SELECT event_id, late, CASE WHEN late THEN count(*) ELSE 1 END AS n FROM told GROUP BY event_id, late"""
+
+
+@query("late_rows", FEED)
+def late_rows(spark, folder):
+    """The events in files of five days, each with some of the two files before; with a delay of one day repeats are
+    dropped or come out as late."""
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.agg(F.min("ts").cast("date")).scalar()
+    days = events.select("event_id", "ts", "user_id", F.floor(F.date_diff(F.col("ts").cast("date"), first) / 5).alias("own"))
+    landing = new_path(spark, "landing")
+    for file in range(6):
+        again = (F.col("own") == file - 1) & (F.col("event_id") % 7 == 0) | (F.col("own") == file - 2) & (F.col("event_id") % 11 == 0)
+        days.where((F.col("own") == file) | again).drop("own").coalesce(1).write.mode("append").parquet(landing)
+    arriving = ingest.landing_stream(spark, landing, days.drop("own").schema, maxFilesPerTrigger=1)
+    path = new_path(spark, "told-apart")
+    ingest.first_or_late(arriving, path, new_path(spark, "late-checkpoint"), "event_id", "ts", 86_400_000).awaitTermination()
+    first, late = (ingest.read_told_apart(spark, path, part).withColumn("late", F.lit(part == "late")) for part in ("rows", "late"))
+    return first.unionByName(late).groupBy("event_id", "late").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

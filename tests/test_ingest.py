@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from keystead.operators.rows import first_per_key
 from keystead.sources import tables
+from keystead.sources.keyed_sink import read_keyed
 from keystead.sources.order_listings import raw_listings
 from keystead.streaming import ingest
 
@@ -20,11 +21,11 @@ def test_two_runs_and_a_repeat(spark, tmp_path):
     # The rest arrives together with copies of what is stored.
     raw.where(third != 0).write.mode("append").parquet(landing)
     ingest.ingest(ingest.landing_stream(spark, landing, raw.schema), sink, checkpoint).awaitTermination()
-    stored = spark.read.parquet(sink)
+    stored = read_keyed(spark, sink)
     batch = first_per_key(ingest.non_empty(raw), ["property_id"])
     assert stored.count() == stored.select("property_id").distinct().count() == batch.count()
     ingest.save_batch(raw, sink)
-    assert spark.read.parquet(sink).count() == batch.count()
+    assert read_keyed(spark, sink).count() == batch.count()
 
 
 def test_unique_within_is_distinct(spark, tmp_path):

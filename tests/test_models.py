@@ -161,12 +161,9 @@ def test_furnishing_levels_are_ordered(spark):
     assert (level[0], level[20], level[40], level[64]) == (2, 1, 0, 0) and len(level) == 65
 
 
-def test_vocabulary_blocks_give_the_same_counts(spark, monkeypatch):
+def test_furnish_counts(spark):
     df = spark.createDataFrame([(1, "['2 Fan', 'Exhaust Fan']"), (2, "['No Exhaust Fan', '3 Bed']"), (3, None)], "listing_id int, furnishDetails string")
-    whole = sorted(map(tuple, furnish.furnish_counts(df).collect()))
-    assert whole == [(1, "Exhaust Fan", 1), (1, "Fan", 2), (2, "Bed", 3), (2, "Fan", 1)]
-    monkeypatch.setattr(furnish, "VOCABULARY_BLOCK", 1)
-    assert sorted(map(tuple, furnish.furnish_counts(df).collect())) == whole
+    assert sorted(map(tuple, furnish.furnish_counts(df).collect())) == [(1, "Exhaust Fan", 1), (1, "Fan", 2), (2, "Bed", 3), (2, "Fan", 1)]
 
 
 def test_registered_price_models_have_the_published_sizes(spark, monkeypatch):
