@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystead.functions import features as ft
 from keystead.operators import furnish, rows, similar
-from keystead.plans import drivers, encode, price, store
+from keystead.plans import boosting, drivers, encode, price, store
 from keystead.sources import keyed_sink
 from keystead.storage import delete, exists, names_in, touch
 from tests.test_models import best, listings  # noqa: F401
@@ -108,20 +108,73 @@ def test_anchors_in_chunks(listings, monkeypatch, chunk, block):  # noqa: F811
 
 def test_folds_side_by_side_equal_one_by_one(listings):  # noqa: F811
     df = listings[0].where("listing_id < 150")
-    models = {"tree": DecisionTreeRegressor(maxDepth=4, seed=1), "boosted": GBTRegressor(maxIter=3, maxDepth=3, seed=1)}
+    models = {"tree": DecisionTreeRegressor(maxDepth=4, seed=1), "boosted": GBTRegressor(maxIter=12, maxDepth=3, seed=1, featureSubsetStrategy="0.8")}
     table = {r.model: r for r in price.compare(df, models, 4).collect()}
     encoded = price.encoded(df, 4)
     assert encoded.count() == 150
-    for name, model in models.items():
-        r2 = []
-        for fold in range(4):
-            fitted = model.fit(encoded.where(F.col("fold") != fold))
-            scored = fitted.transform(encoded.where(F.col("fold") == fold)).select("label", "prediction").toPandas()
-            r2.append(1 - ((scored.label - scored.prediction) ** 2).sum() / ((scored.label - scored.label.mean()) ** 2).sum())
-        assert table[name].r2_mean == pytest.approx(np.mean(r2)) and table[name].r2_std == pytest.approx(np.std(r2))
+    r2 = []
+    for fold in range(4):
+        fitted = models["tree"].fit(encoded.where(F.col("fold") != fold))
+        scored = fitted.transform(encoded.where(F.col("fold") == fold)).select("label", "prediction").toPandas()
+        r2.append(1 - ((scored.label - scored.prediction) ** 2).sum() / ((scored.label - scored.label.mean()) ** 2).sum())
+    assert table["tree"].r2_mean == pytest.approx(np.mean(r2)) and table["tree"].r2_std == pytest.approx(np.std(r2))
     assert sum(r.winner for r in table.values()) == 1
 
 
+def grown(codes, rest, weight, depth, penalty, allowed, bins):
+    """Scores of one tree, grown node by node."""
+    out = np.zeros(len(codes))
+
+    def grow(rows_, level):
+        on = rows_[weight[rows_] > 0]
+        g, n = rest[on].sum(), len(on)
+        best_ = (1e-9, None)
+        for f in np.flatnonzero(allowed) if level < depth else ():
+            for b in range(bins[f] - 1):
+                left = codes[on, f] <= b
+                if 0 < left.sum() < n:
+                    parts = [(rest[on][side].sum(), side.sum()) for side in (left, ~left)]
+                    gain = sum(x * x / (m + penalty) for x, m in parts) - g * g / (n + penalty)
+                    if gain > best_[0] + 1e-12:
+                        best_ = gain, (f, b)
+        if best_[1] is None:
+            out[rows_] = g / (n + penalty)
+        else:
+            f, b = best_[1]
+            grow(rows_[codes[rows_, f] <= b], level + 1)
+            grow(rows_[codes[rows_, f] > b], level + 1)
+
+    grow(np.arange(len(codes)), 0)
+    return out
+
+
+def test_boosting_equals_trees_grown_node_by_node(spark):
+    from pyspark.ml.linalg import Vectors
+
+    draw = np.random.default_rng(4)
+    x = np.round(np.column_stack([draw.normal(size=120), draw.integers(0, 2, 120), draw.normal(size=120), np.ones(120)]), 3)
+    y = x[:, 0] * 2 + x[:, 1] + draw.normal(0, 0.1, 120)
+    df = spark.createDataFrame([(i, float(y[i]), Vectors.dense(x[i])) for i in range(120)], ["listing_id", "label", "features"])
+    how = boosting.Boosting(trees=13, depth=3, rate=0.3, rows=0.7, columns=0.5, seed=9, bins=8)
+    fits = [F.col("listing_id") % 3 != 0, F.col("listing_id") % 3 != 1]
+    cuts = boosting.cut_points(df, how.bins)
+    codes = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
+    want = np.zeros((120, 2))
+    for k in range(2):
+        trains = np.arange(120) % 3 != k
+        score = np.full(120, y[trains].mean())
+        for tree in range(how.trees):
+            allowed = np.zeros(4, bool)
+            allowed[np.random.default_rng((9, k, tree)).permutation(4)[:2]] = True
+            weight = (trains & (boosting.drawn(np.arange(120), 9, k, tree) < how.rows)).astype(float)
+            score = score + how.rate * grown(codes, y - score, weight, how.depth, how.penalty, allowed, [len(c) + 1 for c in cuts])
+        want[:, k] = score
+    for parts in (1, 3):
+        state, trees = boosting.boosted_scores(df.repartition(parts), fits, how)
+        got = {int(i): s for one in state.collect() for i, s in zip(one.ids, one.score, strict=True)}
+        assert np.allclose([got[i] for i in range(120)], want, atol=1e-9) and len(trees) == 13
+
+
 def test_one_hot_rows_equal_the_vectors(spark):
     df = spark.createDataFrame([(1, "b", 2), (2, "a", None), (3, None, 3), (4, "c", 10)], "listing_id long, k string, n int")
     levels = encode.level_table(df.where("listing_id < 4"), ["k", "n"])
