@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from keystead.llm import collocations as co
-from keystead.llm import repair, warc
+from keystead.llm import decontaminate, repair, warc
 from keystead.storage import new_path
 
 # ---- 11 archives
@@ -225,3 +225,34 @@ def test_repaired_messages(spark):
     edits = spark.createDataFrame([(1, "KIKK")], "conv_id long, audit string")
     got = [tuple(r) for r in repair.repaired(df, edits).orderBy("place").collect()]
     assert got == [(1, 0, "K", "user", "a."), (1, 1, "I", "assistant", ""), (1, 2, "K", "user", "b."), (1, 3, "K", "assistant", "c.")]
+
+
+# ---- 5 leaks
+
+
+LEAK = "The old baker named Peter sold 12 loaves and 30 rolls to the tall woman from Berlin on a cold day in May"
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    rows = [(None, LEAK), (None, "A clean text of its own that holds nothing."), (4, LEAK), (4, "Also clean."), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, digest string, raw string")
+    bench = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    assert sorted((r.doc_id is None, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(False, 1), (True, 1)]
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[1], rows[3], rows[4], rows[5]], key=repr)
+
+
+def test_the_map_of_starts_loses_no_window(spark, monkeypatch):
+    """A map that is full, one that is nearly full and the usual one give the same; places are those of all windows."""
+    draw = random.Random(8)
+    vocabulary = ["the", "of", "Anna", "Paul", "12", "7 km", "3.5", "red", "blue", "House", "and", "walks"]
+    text = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    items = [(k, text(draw.choice([3, 9, 14, 30]))) for k in range(12)]
+    rows = [(k, text(10) + " " + (items[k % 12][1] if k % 2 else text(20)) + ". " + text(15)) for k in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for bits in (64, 1 << 10, 1 << 19):
+        monkeypatch.setattr(decontaminate, "GATE_BITS", bits)
+        found.append(sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())))
+    assert found[0] == found[1] == found[2] and {(k, k % 12) for k in range(1, 40, 2)} <= {(f[0], f[1]) for f in found[0]}
