@@ -1,49 +1,63 @@
 """Operator 6, main text of web pages by wrappers inferred from pages of one host.
 
 A page is read as a stream of structural tags and texts. Pages of a host are
-aligned one after the other with the host's wrapper, a union-free expression:
-tags that meet the wrapper's at the same place are joined, tags that only
-some pages have become optional groups, further occurrences of a tag beside itself
-become a repeated group, and texts that differ become slots. The wrapper
-then tells which groups are the article, by what the host's pages
-have in common: article or main elements, or else the group that holds most of the
-text that is not links; groups marked as menus, adverts, forms, comments and the
-like are left out of it. A word in a class or id alone marks no element that is or
+aligned one after the other with the host's wrapper, a union-free expression. At
+every level the two token sequences are aligned in page order by their longest
+common subsequence of tags with their classes. Matched tags are joined; tags that only
+some pages have become optional groups; where a tag occurs in other numbers beside itself,
+it becomes a repeated group; texts that stay the same are constants, texts that
+differ become slots. Levels of more than 64 tokens, as those of generated class names,
+become one repeated group of optional tags without their classes.
+
+The wrapper then tells which groups are the article. Article and main elements
+are; of several, those with slots. On other hosts the article is the smallest
+element with most of the slot text that is not links, without the parts that
+are the same on every page. Only where that holds no slot text (copies of one page, or
+fewer than three pages) all text counts. Groups marked as menus, adverts, forms, comments
+and the like are left out of it. A word in a class or id alone marks no element that is or
 holds an article or main element or, on hosts without those, most of the free
-text; comments count so only where no other article is. Each page is matched with its host's wrapper
+text; comments count so only where no other article is. Each page is aligned with its host's wrapper
 again, and the texts at the article's places are its blocks.
 
 Wrappers are folded in the tasks that read the pages, so a hot host sends one
-small wrapper a task; their size is bounded by the variety of tags, not by pages.
-What extraction needs is smaller still: the places where the article begins and
-ends, mostly alike among hosts. The planner broadcasts them or not by their size.
+wrapper a task; a level holds at most 64 tokens or one a kind of tag, whatever the number of
+pages. What extraction needs is smaller still: the levels on the way to where the
+article begins and ends, mostly alike among hosts. The planner broadcasts them or not by their size.
 
 Defined cases: null and empty pages and pages without an article have the empty
 text; a null url is a host of its own; elements nested over 100 deep
-belong to the hundredth; repeated rows give repeated results; extra columns are
+belong to the hundredth; very long pages are read whole, in one pass, also where tags or
+quotes are never closed: from a tag on that its quotes leave open to the end of the page, tags
+end at their first ``>``, and a tag without one is text; of ties the first element in page order
+counts; repeated rows give repeated results; extra columns are
 not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystead.llm.common import batched, materialise
 from keystead.llm.url_filter import host_of
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|iframe|svg|textarea|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+#: What ends a tag or begins a quote in it.
+STOP = re.compile(r"[>\"']")
+#: Elements whose content is not page text, with what ends them.
+RAW = {
+    tag: re.compile(rf"</{tag}\s*>", re.I)
+    for tag in ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select")
+}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements that stand alone, elements inside a line, and elements that end an open one of their group.
 VOID = frozenset("area base col embed img input link meta param source track wbr".split())
@@ -71,17 +85,18 @@ REPLY_NAMES = frozenset(
 REPLY_PARTS = REPLY_NAMES | frozenset("list area section wrapper container body thread item post posts article articles".split())
 ARTICLE_NAMES = frozenset("article articlebody post entry story content main".split())
 DEEPEST = 100
+#: Longer runs of one tag are a repeated group at once; longer levels lose their order; fewer pages show no constants.
+LONG_RUN, WIDEST, LEAST_PAGES = 8, 64, 3
 
 
 class Node:
-    """An element with its children in page order; texts are children too."""
+    """An element with its children in page order; texts are children too, with their characters in links."""
 
-    __slots__ = ("kids", "kind", "label", "links", "tag")
+    __slots__ = ("kids", "kind", "label", "tag")
 
     def __init__(self, tag: str, label: str, kind: str):
         self.tag, self.label, self.kind = tag, label, kind
-        self.kids: list = []
-        self.links = 0
+        self.kids: list[Node | tuple[str, int]] = []
 
 
 def describe(tag: str, attributes: str) -> tuple[str, str]:
@@ -111,6 +126,56 @@ def describe(tag: str, attributes: str) -> tuple[str, str]:
     return label, kind
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, tag, whether it ends an element, and attributes of all markup; comments and raw elements have no tag."""
+    at, quotes, absent = 0, True, set()
+
+    def find(sign: str, start: int) -> int:
+        """The sign's next place; one that was not found once is never looked for again."""
+        found = -1 if sign in absent else page.find(sign, start)
+        if found < 0:
+            absent.add(sign)
+        return found
+
+    while (start := find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), start):
+            if (end := find(">", at)) >= 0:
+                at = end + 1
+                yield start, at, "", False, ""
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            continue
+        tag, end = m[2].lower(), m.end()
+        while quotes:
+            stop = STOP.search(page, end)
+            if not stop:
+                quotes = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            else:
+                # a quote that nothing closes is a sign like others
+                closed = find(stop[0], stop.end())
+                end = closed + 1 if closed >= 0 else stop.end()
+        else:
+            if (end := find(">", m.end())) < 0:
+                continue
+        at = end + 1
+        if tag in RAW and not m[1]:
+            closes = RAW[tag].search(page, at)
+            at = closes.end() if closes else len(page)
+            yield start, at, "", False, ""
+        else:
+            yield start, at, tag, bool(m[1]), page[m.end() : end]
+
+
 def parse(page: str) -> Node:
     """The page's elements, leniently: open paragraphs end at the next block, stray ends are ignored."""
     root = Node("", "", "")
@@ -120,20 +185,18 @@ def parse(page: str) -> Node:
         nonlocal pieces, linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            stack[-1].kids.append(text)
-            stack[-1].links += min(linked, len(text))
+            stack[-1].kids.append((text, min(linked, len(text))))
         pieces, linked = [], 0
 
     last = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > last:
-            pieces.append(page[last : m.start()])
+    for start, end, tag, ends, attributes in markup(page):
+        if start > last:
+            pieces.append(page[last:start])
             if links:
-                linked += m.start() - last
-        last = m.end()
-        if not m[3]:
+                linked += start - last
+        last = end
+        if not tag:
             continue
-        tag, ends = m[3].lower(), bool(m[2])
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
@@ -167,7 +230,7 @@ def parse(page: str) -> Node:
         if len(stack) > DEEPEST:
             beyond += tag not in PARAGRAPHS
             continue
-        node = Node(tag, *describe(tag, m[4]))
+        node = Node(tag, *describe(tag, attributes))
         stack[-1].kids.append(node)
         stack.append(node)
     if last < len(page):
@@ -176,51 +239,146 @@ def parse(page: str) -> Node:
     return root
 
 
-def places(node: Node) -> Iterator[tuple[str, object]]:
-    """Children with their place in a wrapper: label and occurrence; from the third on they are one repeated group."""
-    seen: dict[str, int] = {}
-    for kid in node.kids:
-        label = kid.label if isinstance(kid, Node) else "#"
-        n = seen[label] = seen.get(label, -1) + 1
-        yield f"{label}#{min(n, 2)}", kid
+def sign(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
 
+def wrapper_of(node: Node | tuple[str, int]) -> dict:
+    """A page as a wrapper of one page: tokens with label, kind, pages, whether repeated or optional, and tokens inside.
 
-def wrapper_of(node: Node) -> dict:
-    """A page as a wrapper of one page: kind, chars, chars in links, text if all pages have the same, and groups."""
-    out = {"kind": node.kind, "chars": 0, "links": node.links, "groups": {}}
-    for place, kid in places(node):
-        if isinstance(kid, Node):
-            new = wrapper_of(kid)
-            out["links"] += new["links"]
+    Texts have their characters, those in links and a sign, which slots lose.
+    """
+    if isinstance(node, tuple):
+        text, links = node
+        return {"label": "#", "kind": "#", "n": 1, "rep": 0, "opt": 0, "chars": len(text), "links": links, "sign": sign(text)}
+    out = {"label": f"{node.label}|{node.kind}", "kind": node.kind, "n": 1, "rep": 0, "opt": 0, "loose": 0}
+    tokens = []
+    for run in runs([wrapper_of(kid) for kid in node.kids]):
+        tokens += [repeated(run)] if len(run) > LONG_RUN else run
+    return out | {"kids": tokens} if len(tokens) <= WIDEST else out | {"kids": loosened(tokens), "loose": 1}
+
+
+def runs(tokens: list[dict]) -> list[list[dict]]:
+    """Tokens of one label beside each other."""
+    out: list[list[dict]] = []
+    for token in tokens:
+        if out and out[-1][0]["label"] == token["label"]:
+            out[-1].append(token)
         else:
-            new = {"kind": "#", "chars": len(kid), "links": 0, "text": kid if len(kid) < 100 else None, "groups": {}}
-        out["chars"] += new["chars"]
-        old = out["groups"].get(place)
-        out["groups"][place] = align(old, new) if old else new
+            out.append([token])
     return out
 
 
-def align(a: dict, b: dict) -> dict:
-    """The wrapper that fits what either fits: groups of one side are optional, differing texts are slots."""
-    out = {"kind": a["kind"], "chars": a["chars"] + b["chars"], "links": a["links"] + b["links"]}
+def repeated(run: list[dict]) -> dict:
+    """A run as one repeated group."""
+    one = run[0]
+    for token in run[1:]:
+        one = align(one, token, same_page=True)
+    return one | {"rep": 1}
+
+
+def loose_label(label: str) -> str:
+    """The label without classes."""
+    names, _, kind = label.rpartition("|")
+    return f"{names.partition('.')[0]}|{kind}" if names else label
+
+
+def loosened(tokens: list[dict]) -> list[dict]:
+    """A level as a repeated group of optional tokens, one for a tag and kind."""
+    out: dict[str, dict] = {}
+    for token in tokens:
+        label = loose_label(token["label"])
+        token = token | {"label": label, "rep": 1, "opt": 1}
+        out[label] = align(out[label], token, same_page=True) if label in out else token
+    return [out[label] for label in sorted(out)]
+
+
+def align(a: dict, b: dict, same_page: bool = False) -> dict:
+    """The wrapper that fits what either fits. same_page: both are parts of the same pages, so pages do not add up."""
+    out = {"label": a["label"], "kind": a["kind"], "rep": a["rep"] | b["rep"], "opt": a["opt"] | b["opt"]}
+    out["n"] = max(a["n"], b["n"]) if same_page else a["n"] + b["n"]
     if a["kind"] == "#":
-        out["text"] = a["text"] if a["text"] == b["text"] else None
-    groups = dict(a["groups"])
-    for place, group in b["groups"].items():
-        groups[place] = align(groups[place], group) if place in groups else group
-    out["groups"] = groups
+        both = a["sign"] is not None and b["sign"] is not None
+        if same_page:
+            # repeated texts are constant if every page has the same ones
+            kept = sign(f"{a['sign']} {b['sign']}") if both else None
+        else:
+            kept = a["sign"] if both and a["sign"] == b["sign"] else None
+        return out | {"chars": a["chars"] + b["chars"], "links": a["links"] + b["links"], "sign": kept}
+    if not a["loose"] and not b["loose"]:
+        tokens = aligned(a["kids"], b["kids"], same_page)
+        if len(tokens) <= WIDEST:
+            return out | {"kids": tokens, "loose": 0}
+        return out | {"kids": loosened(tokens), "loose": 1}
+    own, other = ({t["label"]: t for t in (x["kids"] if x["loose"] else loosened(x["kids"]))} for x in (a, b))
+    for label, token in other.items():
+        own[label] = align(own[label], token, same_page) if label in own else token
+    return out | {"kids": [own[label] for label in sorted(own)], "loose": 1}
+
+
+def aligned(x: list[dict], y: list[dict], same_page: bool) -> list[dict]:
+    """Two token sequences as one, in order: mismatches become optional or repeated groups."""
+    xs, ys = runs(x), runs(y)
+    out = []
+    for i, j in common([run[0]["label"] for run in xs], [run[0]["label"] for run in ys]):
+        if i is None or j is None:
+            out += [token | {"opt": 1} for token in (ys[j] if i is None else xs[i])]
+        elif len(xs[i]) == len(ys[j]):
+            out += [align(a, b, same_page) for a, b in zip(xs[i], ys[j], strict=True)]
+        else:
+            out.append(align(repeated(xs[i]), repeated(ys[j]), same_page))
     return out
 
 
+def common(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
+    """Places of both sequences, paired along a longest common subsequence; equal starts and ends are paired first."""
+    start, least = 0, min(len(x), len(y))
+    while start < least and x[start] == y[start]:
+        start += 1
+    end = 0
+    while end < least - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    a, b = x[start : len(x) - end], y[start : len(y) - end]
+    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)] if a and b else []
+    for i in range(len(a) - 1, -1, -1) if longest else ():
+        row, below = longest[i], longest[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(start)]
+    i = j = 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append((start + i, start + j))
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and longest[i + 1][j] >= longest[i][j + 1]):
+            out.append((start + i, None))
+            i += 1
+        else:
+            out.append((None, start + j))
+            j += 1
+    return out + [(len(x) - k, len(y) - k) for k in range(end, 0, -1)]
+
+
+def weighed(node: dict, slots: bool) -> dict:
+    """The wrapper with ``slot``, the characters in slots, and ``free``, those not in links. slots: constants weigh nothing."""
+    if node["kind"] == "#":
+        constant = slots and node["sign"] is not None and node["n"] >= LEAST_PAGES
+        chars = 0 if constant else node["chars"]
+        return node | {"slot": chars, "free": max(0, chars - 2 * node["links"])}
+    tokens = [weighed(token, slots) for token in node["kids"]]
+    return node | {"kids": tokens, "slot": sum(token["slot"] for token in tokens)}
+
+
 def worded(kind: str) -> bool:
     return kind.startswith(("words", "replies"))
 
 
-def holds_article(node: dict, skip: tuple) -> bool:
-    """Whether the group is or holds an article or main element outside the kinds to skip."""
-    if node["kind"] == "other" or node["kind"].startswith(skip):
+def holds_article(node: dict, skip: tuple, least: int = 0) -> bool:
+    """Whether the group is or holds an article or main element, of ``least`` characters in slots, outside the kinds to skip."""
+    if node["kind"] in ("#", "other") or node["kind"].startswith(skip):
         return False
-    return node["kind"].endswith("article") or any(holds_article(g, skip) for g in node["groups"].values())
+    own = node["kind"].endswith("article") and node["slot"] >= least
+    return own or any(holds_article(token, skip, least) for token in node["kids"])
 
 
 def settled(node: dict, skip: tuple, least: float) -> dict:
@@ -228,111 +386,174 @@ def settled(node: dict, skip: tuple, least: float) -> dict:
 
     Lifted are groups that are or hold an article, and those of more than ``least`` free characters.
     """
-    groups = {}
-    for place, group in node["groups"].items():
-        kind, lifted = group["kind"], False
+    if node["kind"] == "#":
+        return node
+    tokens = []
+    for token in node["kids"]:
+        kind, lifted = token["kind"], False
         if worded(kind):
-            lifted = not kind.startswith(skip) and (holds_article(group, skip) or free_chars(group, skip) > least)
+            lifted = not kind.startswith(skip) and (holds_article(token, skip) or free_chars(token, skip) > least)
             kind = kind.partition(" ")[2] if lifted else "other"
-        groups[place] = settled(group | {"kind": kind}, skip, least) | {"lifted": lifted}
-    return node | {"groups": groups}
+        tokens.append(settled(token | {"kind": kind}, skip, least) | {"lifted": lifted})
+    return node | {"kids": tokens}
 
 
 def free_chars(node: dict, skip: tuple = ("words", "replies")) -> int:
     """Characters outside links and outside other matter."""
+    if node["kind"] == "#":
+        return node["free"]
     if node["kind"] in ("other", "header") or node["kind"].startswith(skip):
         return 0
-    if node["kind"] == "#":
-        return node["chars"]
-    return max(0, sum(free_chars(g, skip) for g in node["groups"].values()) - 2 * node["links"])
+    return sum(free_chars(token, skip) for token in node["kids"])
 
 
-def mark(node: dict, kinds: tuple, inside: bool = False) -> dict:
-    """Where the article begins and ends: [is article, groups that differ from the element around them]."""
-    out = {}
-    for place, group in node["groups"].items():
-        if group["kind"] == "#":
-            continue
-        own = inside or group["kind"] in kinds
-        if group["kind"] == "other" or (group["kind"] == "header" and not inside):
-            own = False
-            below = {}
+def mark(node: dict, kinds: tuple, inside: bool = False, least: int = 0, varied: bool = False) -> dict | None:
+    """Where the article begins and ends; None if all inside is like the element itself.
+
+    ``at``: label, 1 in the article, 2 in it whatever its class, 0 outside, and marks of every token of the level.
+    least: characters in slots that make a group of the kinds an article. varied: without what every page has alike.
+    """
+    at, differs = [], False
+    for token in node["kids"]:
+        own = inside or (token["kind"] in kinds and token["slot"] >= least)
+        alike = varied and token["n"] == node["n"] >= LEAST_PAGES and not token["opt"] and not token["slot"]
+        if token["kind"] == "other" or (token["kind"] == "header" and not inside) or (alike and inside):
+            own, below = False, None
         else:
-            below = mark(group, kinds, own)
-        if own != inside or below or (own and group.get("lifted")):
-            out[place] = [int(own), below]
-    return out
+            below = None if token["kind"] == "#" else mark(token, kinds, own, least, varied)
+        lifted = own and token.get("lifted", False)
+        at.append([token["label"], 2 if lifted else int(own), below])
+        differs = differs or own != inside or lifted or below is not None
+    return {"loose": node["loose"], "at": at} if differs else None
+
 
+def begins(marks: dict | None) -> bool:
+    return marks is not None and any(own or begins(below) for _, own, below in marks["at"])
 
-def begins(marks: dict) -> bool:
-    return any(own or begins(below) for own, below in marks.values())
 
+def only(node: dict, chosen: int, own: int, below: dict | None) -> dict:
+    """Marks of a level of which only one token counts."""
+    at = [[token["label"], own, below] if k == chosen else [token["label"], 0, None] for k, token in enumerate(node["kids"])]
+    return {"loose": node["loose"], "at": at}
 
-def heaviest(node: dict) -> dict:
+
+def heaviest(node: dict) -> dict | None:
     """Marks of the smallest element with most of the free text."""
     total = free_chars(node)
-    for place, group in node["groups"].items():
-        if group["kind"] != "#" and group["groups"] and free_chars(group) > 0.7 * total > 0:
-            texts = [g for g in group["groups"].values() if g["kind"] == "#"]
-            if sum(g["chars"] for g in texts) < 0.7 * total or len(texts) > 1:
-                deeper = heaviest(group)
+    for place, token in enumerate(node["kids"]):
+        if token["kind"] != "#" and token["kids"] and free_chars(token) > 0.7 * total > 0:
+            texts = [t for t in token["kids"] if t["kind"] == "#"]
+            if sum(t["free"] for t in texts) < 0.7 * total or len(texts) > 1:
+                deeper = heaviest(token)
                 if deeper:
-                    return {place: [0, deeper]}
-            if place.startswith(("p#", "p.")):
-                return {}
-            return {place: [1, mark(group, (), True)]}
-    return {}
+                    return only(node, place, 0, deeper)
+            if loose_label(token["label"]).startswith("p|"):
+                return None
+            return only(node, place, 1, mark(token, (), True, varied=True))
+    return None
+
+
+def marked_chars(node: dict, marks: dict | None, inside: bool = False) -> int:
+    """Free characters at the article's places."""
+    if node["kind"] == "#":
+        return node["free"] if inside else 0
+    if marks is None:
+        return free_chars(node) if inside else 0
+    pairs = zip(node["kids"], marks["at"], strict=True)
+    return sum(marked_chars(token, below, bool(own)) for token, (_, own, below) in pairs)
 
 
-def article_marks(wrapper: dict, by_text: bool = True) -> dict:
+def article_marks(wrapper: dict, by_text: bool = True) -> dict | None:
     """The places of the article in a host's wrapper. by_text: worded groups with most of the free text are none."""
+    wrapper, whole = weighed(wrapper, True), wrapper
     # "-" is no kind: with it nothing is skipped
+    if not free_chars(wrapper, ("-",)):
+        wrapper = weighed(whole, False)
     for skip in (("replies",), ("-",)):
-        marks = mark(settled(wrapper, skip, math.inf), ("article",)) if holds_article(wrapper, skip) else {}
-        if begins(marks):
-            return marks
+        if holds_article(wrapper, skip):
+            least = int(holds_article(wrapper, skip, 1))
+            marks = mark(settled(wrapper, skip, math.inf), ("article",), least=least)
+            if begins(marks):
+                return marks
     for skip in (("replies",), ("-",)) if by_text else (("words", "replies"),):
         own = settled(wrapper, skip, free_chars(wrapper, skip) / 2 if by_text else math.inf)
-        marks = mark(own, ("named",))
-        marks = marks if begins(marks) else heaviest(own)
-        if marks:
-            return marks
-    return {}
+        named = mark(own, ("named",))
+        # names decide only where most of the text outside worded groups is so named
+        if not begins(named) or marked_chars(own, named) <= free_chars(wrapper) / 2:
+            marks = heaviest(own)
+            named = marks if begins(marks) else named
+        if begins(named):
+            return named
+    return None
+
+
+def assigned(kids: list, marks: dict) -> list[list | None]:
+    """The token of the wrapper's level that each child meets, if any."""
+    labels = ["#" if isinstance(kid, tuple) else f"{kid.label}|{kid.kind}" for kid in kids]
+    if marks["loose"]:
+        labels = [loose_label(label) for label in labels]
+    own = groups(labels)
+    other = groups([token[0] for token in marks["at"]])
+    names = [labels[run[0]] for run in own]
+    known = {marks["at"][run[0]][0]: run for run in other}
+    if len(known) == len(other):
+        met = [known.get(name) for name in names]
+    else:
+        met = [None] * len(own)
+        for i, j in common(names, [marks["at"][run[0]][0] for run in other]):
+            if i is not None:
+                met[i] = other[j] if j is not None else known.get(names[i])
+    out: list[list | None] = []
+    for run, tokens in zip(own, met, strict=True):
+        out += [marks["at"][tokens[min(k, len(tokens) - 1)]] if tokens else None for k in range(len(run))]
+    return out
 
 
-def blocks(node: Node, marks: dict, inside: bool = False) -> Iterator[str]:
+def groups(labels: list[str]) -> list[list[int]]:
+    """Places of equal labels beside each other."""
+    return [list(run) for _, run in itertools.groupby(range(len(labels)), labels.__getitem__)]
+
+
+def blocks(node: Node, marks: dict | None, inside: bool = False) -> Iterator[str]:
     """The texts at the article's places, in page order."""
-    for place, kid in places(node):
-        if not isinstance(kid, Node):
-            if inside:
-                yield kid
+    for kid, met in zip(node.kids, assigned(node.kids, marks) if marks else [None] * len(node.kids), strict=True):
+        own, below = (bool(met[1]), met[2]) if met else (inside, None)
+        if isinstance(kid, tuple):
+            if own:
+                yield kid[0]
             continue
-        own, below = marks.get(place, (inside, {}))
-        if own and (kid.kind == "other" or (kid.kind == "header" and not inside) or (worded(kid.kind) and place not in marks)):
-            own, below = False, {}
+        if own and not met and (kid.kind == "other" or (kid.kind == "header" and not inside) or worded(kid.kind)):
+            own = False
         if own or below:
-            yield from blocks(kid, below, bool(own))
+            yield from blocks(kid, below, own)
 
 
-def extract(page: str, marks: dict) -> str:
+def extract(page: str, marks: dict | None) -> str:
     """The article by the host's marks; a page that has nothing there is a wrapper of its own."""
     root = parse(page)
     found = list(blocks(root, marks)) or list(blocks(root, article_marks(wrapper_of(root), by_text=False)))
     return "\n\n".join(found)
 
 
-def host_marks(pages: DataFrame, kept: int = 2000) -> DataFrame:
-    """host, marks: the places of the article for every host. kept: hosts a task holds before it passes them on."""
+def tokens_in(node: dict) -> int:
+    return 1 + sum(tokens_in(token) for token in node.get("kids", ()))
+
+
+def host_marks(pages: DataFrame, kept: int = 200_000) -> DataFrame:
+    """host, marks: the places of the article for every host. kept: tokens of wrappers a task holds before it passes them on."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {}
+        size = 0
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 new = wrapper_of(parse(page or ""))
                 held[host] = align(held[host], new) if host in held else new
-            if len(held) > kept:
-                yield passed(held, json.dumps)
-                held = {}
+                # an upper bound, as tokens that meet are counted twice; counted anew where it is reached
+                size += tokens_in(new)
+                if size > kept and (size := sum(map(tokens_in, held.values()))) > kept // 2:
+                    yield passed(held, json.dumps)
+                    held, size = {}, 0
         yield passed(held, json.dumps)
 
     def passed(held: dict, write) -> pa.RecordBatch:
@@ -370,7 +591,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     if len(read) > 5000:
                         read.clear()
                     if mark_ not in read:
-                        read[mark_] = json.loads(mark_ or "{}")
+                        read[mark_] = json.loads(mark_ or "null")
                     texts.append(extract(page or "", read[mark_]))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield batched(names, kinds, [ids[at : at + 256], urls[at : at + 256], texts, [len(t) for t in texts]])

@@ -1,8 +1,10 @@
 """Operators on small tables: defined results for nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -269,16 +271,81 @@ def test_class_words_lose_no_article(spark, body, want):
     assert got == {0: want, 1: want, 2: ""}
 
 
+def wrapper(*pages):
+    """The wrapper of all pages."""
+    first, *rest = [html_extract.wrapper_of(html_extract.parse(page)) for page in pages]
+    for page in rest:
+        first = html_extract.align(first, page)
+    return first
+
+
+def expression(node):
+    """A wrapper as a regular expression: constants C, slots S."""
+    if node["kind"] == "#":
+        own = "C" if node["sign"] is not None else "S"
+    else:
+        own = f"{node['label'].partition('|')[0]}({' '.join(map(expression, node['kids']))})"
+    return own + "+" * node["rep"] + "?" * node["opt"]
+
+
 def test_wrapper_alignment():
-    first, second = (html_extract.wrapper_of(html_extract.parse(x)) for x in ("<div>a</div><p>x<p>y<p>z<p>u", "<p>x<div>b</div>"))
-    both = html_extract.align(first, second)
-    assert both == html_extract.align(second, first) | {"groups": both["groups"]}
-    assert set(both["groups"]) == {"div#0", "p#0", "p#1", "p#2"}
-    assert both["groups"]["p#0"]["groups"]["##0"]["text"] == "x" and both["groups"]["div#0"]["groups"]["##0"]["text"] is None
+    assert expression(wrapper("<div>a</div><p>x", "<div>b</div><p>x")) == "(div(S) p(C))"
+    assert expression(wrapper("<div>a</div><p>x", "<p>x<div>a</div>")) == "(div(C)? p(C) div(C)?)"
+    assert expression(wrapper("<p>x<ul><li>a<li>b</ul>", "<p>x<ul><li>a<li>b<li>c</ul><div>y</div>")) == "(p(C) ul(li(S)+) div(C)?)"
+    assert expression(wrapper("<ul>" + "<li>a" * 9 + "</ul>", "<ul>" + "<li>a" * 9 + "</ul>")) == "(ul(li(C)+))"
+
+
+def test_common_subsequence_against_brute_force():
+    draw = random.Random(3)
+    for _ in range(200):
+        x, y = (["abc"[draw.randrange(3)] for _ in range(draw.randrange(7))] for _ in range(2))
+        pairs = html_extract.common(x, y)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(x))) and [j for _, j in pairs if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        some = {tuple(c) for n in range(len(x) + 1) for c in itertools.combinations(x, n)}
+        longest = max(len(c) for n in range(len(y) + 1) for c in itertools.combinations(y, n) if c in some)
+        assert all(x[i] == y[j] for i, j in both) and len(both) == longest
+
+
+@pytest.mark.parametrize("page", ["<div class=motto><p>{}</p></div><div class=story><p>{}</p></div>", "<div>{}</div><div>{}</div>", "<p>{}</p><p>{}</p>", "<div id=content>{}</div><div>{}</div>"])
+def test_slots_are_the_story(spark, page):
+    stories = [f"Story {k} tells of {7 * k} things." for k in range(6)]
+    rows = [(k, "http://h.org/", "<html><body><nav>Menu</nav>" + page.format("We stand for truth. " * 15, story)) for k, story in enumerate(stories)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(stories))
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    rows = [(k, "http://h.org/", "<body><div><p>One<p>Two</div>") for k in range(5)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["One\n\nTwo"] * 5
+
+
+def test_generated_classes_and_long_levels_stay_small():
+    names = ["".join(c) for c in itertools.product("abcdefghij", repeat=3)]
+    pages = [f"<body>{''.join(f'<div class={n}>{n}</div><p>{n}' for n in names[k : k + 5])}</body>" for k in range(0, 1000, 5)]
+    made = wrapper(*pages)
+    assert expression(made) == "(body(div(S)+? p(S)+?))"
+    assert html_extract.extract(pages[3], html_extract.article_marks(made)) == "\n\n".join(n for n in names[15:20] for _ in range(2))
+    long = "<body><article>" + "<p>x<h2>y</h2>" * 5000 + "</article></body>"
+    assert html_extract.extract(long, html_extract.article_marks(wrapper(long, long))) == "\n\n".join(["x", "y"] * 5000)
+
+
+@pytest.mark.parametrize("page", ["<div " * 200_000, "<p title='y " * 80_000, "<!" * 300_000, "<p a='>" * 100_001, "<div>" * 200_000, "<!--" * 200_000])
+def test_malformed_pages_end(page):
+    began = time.monotonic()
+    html_extract.extract("<article>Text</article>" + page, None)
+    assert time.monotonic() - began < 20
+
+
+def test_open_quotes_and_tags():
+    assert html_extract.extract("<article><p title='a>b'>One<p title='c>Two</article> <", None) == "One\n\nTwo"
+    assert html_extract.extract("<article>One <div Two", None) == "One <div Two"
 
 
 def test_deep_nesting(spark):
-    assert html_extract.extract("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", {"article#0": [1, {}]}) == "deep"
+    page = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>"
+    assert html_extract.extract(page, html_extract.article_marks(wrapper(page))) == html_extract.extract(page, None) == "deep"
 
 
 # ---- 7 chats
