@@ -4,11 +4,12 @@ A rule is a host and the start of a path; it fits the host, its subdomains and
 every path with that start. A URL's possible keys are all ends of its host,
 joined with the starts of its path of the lengths that rules have. A blocked Bloom
 filter of the rules' keys, of a fixed size whatever the number of rules, drops
-nearly all keys that no rule has; the rest meets the rules in an exact join,
+nearly all keys that no rule has. URLs without a possible key have their verdict at
+once and are never shuffled; the others meet the rules in an exact join,
 which removes false positives. The longest fitting rule decides.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path,
-which no rule fits; rules without host or path are left out, of equal rules the
+which no rule fits; very long URLs are read whole; rules without host or path are left out, of equal rules the
 alphabetically first verdict counts; repeated rows give repeated results; columns other
 than page_id and url are not read; empty tables of pages or rules are fine.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import batched
+from keystead.llm.common import batched, materialise
 
 #: Odd multipliers of the split-block Bloom filter in the public Parquet format (fixed values).
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
@@ -111,15 +112,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", bloc
     keyed = urls.withColumn("keys", possible_keys(F.col("host"), F.col("path"), lengths))
     keyed = keyed.withColumn("hashes", F.transform("keys", lambda key: F.xxhash64(key)))
     row = ["page_id", "host", "path"]
-    screened = keyed.mapInArrow(screen, "page_id long, host string, path string, possible array<string>")
+    # written, as its two parts go different ways and are screened once
+    screened = materialise(keyed.mapInArrow(screen, "page_id long, host string, path string, possible array<string>"), "screened")
+    clear = screened.where(F.size("possible") == 0).select(*row, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # equal rows travel as one row with their number
-    counted = screened.groupBy(*row, "possible").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = counted.select(*row, "copies", F.explode_outer("possible").alias("key")).join(listed, "key", "left")
+    counted = screened.where(F.size("possible") > 0).groupBy(*row, "possible").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = counted.select(*row, "copies", F.explode("possible").alias("key")).join(listed, "key", "left")
     fits = F.when(F.col("listed").isNotNull(), F.struct(F.length("key"), "host_size", "key", "listed"))
     judged = pairs.groupBy(*row).agg(F.max(fits).alias("best"), F.max("copies").alias("copies"))
-    return judged.select(
+    judged = judged.select(
         *row,
         F.col("best.key").alias("rule"),
         F.coalesce("best.listed", F.lit(default)).alias("verdict"),
         F.explode(F.expr("sequence(1L, copies)")).alias("copy"),
-    ).drop("copy")
+    )
+    return clear.unionByName(judged.drop("copy"))
