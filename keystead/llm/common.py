@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystead.storage import discard, materialise
 
-__all__ = ["batched", "components", "discard", "held_out", "materialise", "table", "texts"]
+__all__ = ["batched", "components", "discard", "free_name", "held_out", "materialise", "table", "texts"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def batched(names: list[str], types: list[pa.DataType], columns: list) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, longer where a column of docs has it."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_column: str, modulus: int, remainder: int) -> Column:
     """Is crc32 of the id as text, modulo ``modulus``, equal to ``remainder``? A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -7,8 +7,8 @@ texts that share a hash are never merged.
 Defined cases: a null text is the empty text, and empty texts are equal. Rows
 without an id are judged like others but stay only where no row of the group
 has one, and then all of them. Rows that repeat both id and text are one document
-and are all marked kept. Columns other than id and text are not read. An empty table gives an
-empty result.
+and are all marked kept; of them ``drop_exact_copies`` keeps one row. Very long texts are read whole. Columns other
+than id and text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import materialise
+from keystead.llm.common import free_name, materialise
 
 
 def content_hash(digest: Column) -> Column:
@@ -75,12 +75,24 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", hash_of=content_hash)
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns: one row for a text.
 
-    Only the ids and digests of those that go are joined with the documents.
+    Only the ids and digests of those that go are joined with the documents. Of rows with one id and text that stay
+    the one whose columns, as JSON, have the least hash is kept.
     """
-    gone = exact_groups(docs, keep).where(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
-    )
+    groups = exact_groups(docs, keep)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+
+    def named(rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        own_id, own_digest = free_name(docs, f"{name}_id"), free_name(docs, f"{name}_digest")
+        keys = rows.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest))
+        return keys, F.col("doc_id").eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest))
+
+    gone, is_gone = named(groups.where(~F.col("kept")), "gone")
+    again = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    again, is_again = named(materialise(again.where("times > 1"), "repeated"), "again")
+    left = docs.join(gone, is_gone, "left_anti")
+    whole = F.struct(*(F.col(f"`{name}`") for name in docs.columns))
+    one = left.join(again, is_again, "left_semi").groupBy("doc_id", digest.alias("digest"))
+    one = one.agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return left.join(again, is_again, "left_anti").unionByName(one.select("row.*"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import batched, components, materialise, runs, texts
+from keystead.llm.common import batched, components, free_name, materialise, runs, texts
 
 LEVELS = 8
 
@@ -270,5 +270,6 @@ def near_classes(
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """Of every class the document with the smallest id, with all columns; rows without an id stay."""
-    gone = near_classes(docs, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = free_name(docs, "gone")
+    gone = near_classes(docs, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -63,7 +64,15 @@ def test_exact_groups_odd_rows(spark):
     assert exact_groups(documents(spark, [])).collect() == []
     kept = drop_exact_copies(documents(spark, ODD))
     assert kept.columns == documents(spark, []).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_repeated_rows_stay_once_whatever_the_columns(spark):
+    rows = [(4, "same", "x", None), (4, "same", "x", None), (4, "same", "y", [1]), (4, "other", "x", None), (None, None, "z", None), (None, "", "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, again_digest array<int>")
+    got = drop_exact_copies(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (4, "other"), (4, "same")]
+    assert sorted(map(str, got.collect())) == sorted(map(str, drop_exact_copies(docs.repartition(5)).collect()))
 
 
 # ---- 2 token counts
@@ -114,6 +123,25 @@ def test_toxicity_finds_unseen_misspellings(spark):
     assert (again.weights == model.weights).all() and again.slope == model.slope
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    draw = random.Random(4)
+    rows = [(k, words(draw.randrange(60), k) + (" nastyword" if k % 3 == 0 else "")) for k in range(60)]
+    # the one toxic window of a very long text is not lost in scoring
+    rows += [(100, words(20_000, 9, 9000) + " nastyword " + words(20_000, 8, 9000)), (101, words(30_000, 7, 9000))]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows if k < 100], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for doc_id, text in rows[:60]:
+        totals = []
+        for window in toxicity.windows(text, 12):
+            buckets = [toxicity.grams([word], 1 << 18)[1] for word in window]
+            totals.append(sum(sum(float(model.weights[k]) for k in own) / len(own) for own in buckets))
+        logit = model.slope * (max(totals, default=0.0) / 12 + model.bias) + model.shift
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-logit))) < 1e-5
+    assert got[100] > 0.7 > got[101]
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ODD)
     one_kind = spark.createDataFrame([(4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
