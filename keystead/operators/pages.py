@@ -102,8 +102,12 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def with_search_block(pages: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Pages with their elements and ``search``, the block that holds the results."""
-    parsed = with_elements(pages, extra or [], ["div", "section"])
+    """Pages with their elements and ``search``, the block that holds the results.
+
+    A page that does not name the block's attribute has none, so it is not parsed and has no elements.
+    """
+    may_hold = F.lower("html").contains(SEARCH_BLOCK[0])
+    parsed = with_elements(pages.withColumn("html", F.when(may_hold, F.col("html"))), extra or [], ["div", "section"])
     return parsed.withColumn("search", first(choose(F.col("elements"), tag="div", attr=SEARCH_BLOCK)))
 
 

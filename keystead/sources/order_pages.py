@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystead.storage import spread
+
+#: Pages are many times the size of the order they come from, and parsing them is bound by the CPU.
+ORDERS_PER_TASK = 100_000
+
 ORDER_PAGES_SQL = """
 WITH base AS (
   SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS ks, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) AS lac,
@@ -43,5 +48,6 @@ UNION ALL SELECT k * 4 + 3, concat('/x/', ks), 'Please solve this Captcha' FROM
 
 def order_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages (page_id, url, html) over ``orders`` in ``folder``."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_totalprice")
+    orders = spread(orders, "o_orderkey", ORDERS_PER_TASK)
     return spark.sql(ORDER_PAGES_SQL.replace("FROM orders", "FROM {orders} orders"), orders=orders)
