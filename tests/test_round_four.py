@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from keystead.functions import features, text
 from keystead.operators import outline, pages
-from keystead.sources.order_listings import raw_listings_of
+from keystead.plans import prepare
+from keystead.sources import order_listings
 from keystead.sources.order_pages import order_pages
 from keystead.storage import spread
 
@@ -58,3 +60,33 @@ def test_pages_without_the_mark_of_a_search_block_are_rejected(spark):
     rows = [(1, "a", None), (2, "b", ""), (3, "c", '<div DATA-Label="SEARCH">'), (4, "d", '<div data-label="&#83;EARCH">'), (5, "e", "<p>data-label</p> a robot"), (6, "f", '<p data-label="SEARCH">')]
     got = pages.page_rejects(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.page_id: r.blocked for r in got.collect()} == {1: None, 2: False, 5: True, 6: False}
+
+
+def test_listings_of_one_file_are_made_in_short_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order_listings, "ORDERS_PER_TASK", 10)
+    customer = spark.range(9).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey"))
+    nation = spark.range(2).select(F.col("id").alias("n_nationkey"), F.col("id").alias("n_regionkey"))
+    orders(spark, tmp_path, 400)
+    table = order_listings.raw_listings_of(spark.read.parquet(f"{tmp_path}/orders.parquet"), customer, nation)
+    assert table.rdd.getNumPartitions() >= 40 and table.count() == 400
+
+
+def test_texts_that_cannot_match_are_read_as_before(apply):
+    assert apply(text.price_to_cr, ["₹ 1 – 2 Cr", "₹ 1 - 2 Lac", "5-6", "7 ſq 8 Cr", "", None]) == [1.5, 0.015, None, 8.0, None, None]
+    assert apply(text.bedrooms, ["2 – 4 bhK", "2-4 BHK", "3 BHK", "-", None]) == [4, 4, 3, None, None]
+    assert apply(text.area_sqft, ["1,000 – 2,000 ſqft", "1,000 - 2,001 sqft", "900 sqft", None]) == [1500.0, 1500.0, 900.0, None]
+    assert apply(text.floor_number, ["Lower Ground of 3", "Basement", "Grounds 7", "no", None]) == [0.0, -1.0, 7.0, None, None]
+    assert apply(text.rate_per_sqft, ["₹ 3,100/sq.ft.", "..5", "a1..2b", "٣", ""]) == [3100.0, 0.5, 1.2, None, None]
+    assert apply(lambda c: features.named_area(c, features.CARPET), ["Carpet area: 35 (4 sq.m.)", "carpet area: 35", "Carpet area : 7", None]) == [4 * 10.7639, None, 7.0, None]
+    assert apply(lambda c: features.named_area(c, r"(\d+) x"), ["12 x", "x", None]) == [12.0, None, None]
+
+
+def test_frequent_sectors_are_counted_over_titles(spark):
+    names = ["2 BHK Flat in Sector 1 Gurgaon", "3 BHK Flat in Sector 1 Gurgaon", "1 BHK Flat in Sector 1, Gurgaon", "Flat in Sector 1 Gurgaon", "no place", None]
+    rows = [(k, name, "gurgaon") for k, name in enumerate([*names, names[2], names[3]])]
+    df = spark.createDataFrame(rows, "listing_id long, property_name string, city string")
+    got = prepare.locate(df.withColumns({c: F.lit("") for c in ("address", "description", "rating")}))
+    wanted = prepare.with_sector(df).where("sector is not null").collect()
+    size = {r.sector: sum(x.sector == r.sector for x in wanted) for r in wanted}
+    assert {(r.listing_id, r.sector) for r in got.collect()} == {(r.listing_id, r.sector) for r in wanted if size[r.sector] >= 3}
+    assert 0 < got.count() < 8
