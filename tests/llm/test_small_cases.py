@@ -553,3 +553,33 @@ def test_probabilities_sum_to_one():
     assert abs(parent.sum() + unknown - 1) < 1e-9
     new = (1 + 0.6 * totals.tables) / (1 + totals.customers)
     assert np.allclose(np.bincount(context, entry) + new * unknown, 1)
+
+
+def test_contexts_are_single_words(spark):
+    # sixty-four words that are each followed by their own twin: fewer classes than words would mix the twins
+    draw = random.Random(7)
+    text = lambda: ". " + " . ".join(f"left{n} right{n}" for n in (draw.randrange(64) for _ in range(40))) + " ."
+    rows = [(k, text()) for k in range(100)]
+    pairs = [(1000 + 64 * i + j, f". left{i} right{j} .") for i in range(64) for j in range(64)]
+    settings = lm_score.Settings(block_tokens=4_000, parts=3)
+    docs = documents(spark, [*rows, *pairs])
+    score = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") >= 1000, settings).collect()}
+    for i in range(64):
+        others = [score[1000 + 64 * i + j] for j in range(64) if j != i]
+        assert score[1000 + 65 * i] > max(others) + 2
+
+
+def test_probabilities_of_all_texts_sum_to_one(spark):
+    import numpy as np
+
+    draw = random.Random(3)
+    rows = [(k, " ".join(draw.choice("aabbcdefgh") for _ in range(6))) for k in range(12)]
+    every = [*sorted({w for _, t in rows for w in t.split()}), "unknown"]
+    asked = ["", *every, *(f"{x} {y}" for x in every for y in every)]
+    docs = documents(spark, [*rows, *((1000 + k, t) for k, t in enumerate(asked))])
+    got = lm_score.score(docs, F.col("doc_id") >= 1000, lm_score.Settings(block_tokens=30, parts=2)).collect()
+    chance = {asked[r.doc_id - 1000]: 10**r.score for r in got if r.held_out}
+    # all texts that go on behind a word are the shorter text times v: v = 1 + R v
+    further = np.array([[chance[f"{x} {y}"] / chance[x] for y in every] for x in every])
+    v = np.linalg.solve(np.eye(len(every)) - further, np.ones(len(every)))
+    assert abs(chance[""] + sum(chance[x] * k for x, k in zip(every, v, strict=True)) - 1) < 1e-3
