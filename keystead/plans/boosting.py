@@ -1,8 +1,10 @@
 """Boosted trees for all folds of a comparison at once (A-M3, A-M6).
 
-Boosting is a long chain of small steps. Trained one fold after the other, the
-chain is walked eleven times, and nearly all of its time goes into starting
-jobs. Here a step is taken for all folds together: rows are put into bins once,
+Boosting is a long chain of small steps. As a job each, nearly all of their time
+goes into starting jobs. Rows are put into bins once (``bins``); while a task can
+hold them, every fit walks its chain in a task of its own, in one stage for all.
+
+Larger tables take a step for all folds together:
 every row knows in which folds it trains, and one job a level adds up the
 histograms of all folds. Sums meet by fold on the executors, which choose the
 splits; only these come to the driver. The rows with their scores are kept in
@@ -25,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystead.plans.bins import Layout, Rows, gathered, layout, measures, outcome, packed, to_every
 from keystead.storage import new_path
 
 REFRESH = 10  # trees between two written states
@@ -194,28 +197,63 @@ def boosted_scores(rows: DataFrame, fits: list, how: Boosting = Boosting()) -> t
     return state, done
 
 
-def fold_outcomes(rows: DataFrame, tests: list, how: Boosting = Boosting()) -> list[tuple[float, float, float]]:
+def scores(own: Rows, coded: Layout, trains: np.ndarray, fit: int, how: Boosting) -> np.ndarray:
+    """What ``boosted_scores`` gives one fit, by a task that has all rows."""
+    sizes = coded.places + 1
+    starts, width = np.cumsum(sizes) - sizes, int(sizes.sum())
+    columns, n = np.ascontiguousarray(own.codes.T), len(own.ids)
+    bins = []  # of every value of a column but 0, the place in a histogram
+    for c in range(len(columns)):
+        feature = coded.features(c)[1:]
+        bins.append(starts[feature] + np.arange(1, len(feature) + 1) - coded.first[feature] + 1)
+    row, score = np.arange(n), np.full(n, own.label[trains].mean() if trains.any() else 0.0)
+    for tree in range(how.trees):
+        on = np.flatnonzero(trains & (drawn(own.ids, how.seed, fit, tree) < how.rows))
+        seen, rest, node = columns[:, on], own.label[on] - score[on], np.zeros(n, np.int64)
+        allowed = np.zeros(len(starts), bool)
+        allowed[np.random.default_rng((how.seed, fit, tree)).permutation(len(starts))[: max(1, round(how.columns * len(starts)))]] = True
+        for level in range(how.depth):
+            here, nodes = node[on], 1 << level
+            sums = np.zeros((2, nodes, width))
+            for c, places in enumerate(bins):
+                size = len(places) + 1
+                key = here * size + seen[c]
+                for out, weight in zip(sums, (rest, None), strict=True):
+                    out[:, places] = np.bincount(key, weight, nodes * size).reshape(nodes, size)[:, 1:]
+            whole = np.stack([np.bincount(here, weight, nodes) for weight in (rest, None)])
+            sums[:, :, starts] = whole[:, :, None] - np.add.reduceat(sums, starts, axis=2)
+            feature, last, left, right = best_splits(sums, starts, allowed, how.penalty)
+            low = np.where(feature >= 0, coded.first[feature] + last, 1)[node]
+            high = np.where(feature >= 0, coded.first[feature] + coded.places[feature] - 1, 0)[node]
+            value = columns.ravel()[coded.column[feature][node] * n + row]
+            node = 2 * node + ((value >= low) & (value <= high))
+        score = score + (how.rate * np.stack([left, right], axis=1).ravel())[node]
+    return score
+
+
+def fold_outcomes(rows: DataFrame, tests: list, how: Boosting = Boosting(), groups: list[range] = ()) -> list[tuple[float, float, float]]:
     """For every test condition: R² of the log price, R² of the price and mean absolute error of the price on its rows,
-    of trees trained on all others."""
+    of trees trained on all others. groups: see ``bins.layout``."""
+    fits, coded = len(tests), layout(cut_points(rows, how.bins), groups)
+    if coded.fits(rows.count()):
+
+        def trained(k: int, part: Iterator) -> Iterator:
+            own = gathered(part)
+            if own is not None:
+                rest = own.tests[:, k]
+                yield k, measures(own.label[rest], scores(own, coded, own.trains[:, k], k, how)[rest])
+
+        batches = packed(rows, coded, F.col("listing_id"), F.col("label"), [~t for t in tests], tests)
+        sums = dict(to_every(batches, fits).mapPartitionsWithIndex(trained).collect())
+        return [outcome(sums[k]) for k in range(fits)]
     state, _ = boosted_scores(rows, [~t for t in tests], how)
 
-    fits = len(tests)
-
     def measure(part: Iterator[Block]) -> Iterator:
         for one in part:
             for k in range(fits):
                 rest = ~one.trains[:, k]
-                y, z = one.label[rest], one.score[rest, k]
-                price, guess = np.expm1(y), np.expm1(z)
-                yield k, np.array([
-                    len(y), y.sum(), (y * y).sum(), ((y - z) ** 2).sum(), price.sum(), (price * price).sum(),
-                    ((price - guess) ** 2).sum(), np.abs(price - guess).sum(),
-                ])
+                yield k, measures(one.label[rest], one.score[rest, k])
 
     sums = dict(state.mapPartitions(measure).reduceByKey(np.add).collect())
     state.unpersist()
-    out = []
-    for k in range(len(tests)):
-        n, y, yy, se, p, pp, pse, ae = sums[k]
-        out.append((float(1 - se / (yy - y * y / n)), float(1 - pse / (pp - p * p / n)), float(ae / n)))
-    return out
+    return [outcome(sums[k]) for k in range(fits)]

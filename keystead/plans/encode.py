@@ -47,6 +47,15 @@ def feature_names(encoder: PipelineModel, categorical: list[str], numeric: list[
     return [*numeric, *(f"{c}_{level}" for c, labels in zip(categorical, levels) for level in labels[:-1])]
 
 
+def code_ranges(encoder: PipelineModel, categorical: list[str], first: int) -> list[range]:
+    """The vector positions of each category, if the codes begin at ``first``."""
+    ranges = []
+    for labels in encoder.stages[1].labelsArray if categorical else []:
+        ranges.append(range(first, first + len(labels) - 1))
+        first = ranges[-1].stop
+    return ranges
+
+
 def drop_helpers(df: DataFrame) -> DataFrame:
     """Without the intermediate columns of the encoder."""
     helper = ("text ", "raw index ", "index ", "code ")

@@ -16,7 +16,8 @@ from keystead.functions.numeric import round_exact
 from keystead.functions.place import city_of
 from keystead.operators.rows import fold_of, is_held_out
 from keystead.plans import boosting, store
-from keystead.plans.encode import drop_helpers, fit_encoder
+from keystead.plans import forest as grown
+from keystead.plans.encode import code_ranges, drop_helpers, fit_encoder
 from keystead.storage import materialise
 
 NUMBERS = ["bedRoom", "bathroom", "built_up_area", "servant room", "store room"]
@@ -73,6 +74,14 @@ def fit(train: DataFrame, estimator: Estimator) -> PipelineModel:
     return PipelineModel([*steps, numbers, scaler, features, regressor])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A written table in as many tasks as its rows give work."""
+    rows = materialise(rows, "encoded")
+    tasks, keys = rows.count() // ROWS_PER_TASK + 1, [c for c in ("listing_id",) if c in rows.columns]
+    dealt = rows.repartition(tasks, *keys)
+    return materialise(dealt.sortWithinPartitions(*keys) if keys else dealt, "encoded")
+
+
 def _outcome(model: PipelineModel, rows: DataFrame) -> tuple[float, float, float]:
     """R² of the log price, R² of the price, and mean absolute error of the price."""
     scored = model.transform(rows).select("label", "prediction")
@@ -95,40 +104,46 @@ def encoded(df: DataFrame, folds: int = 10) -> DataFrame:
     """
     train = training_frame(df)
     categories = categorical_columns(train)
-    *steps, _ = fit_encoder(train, categories, NUMBERS).stages
+    encoder = fit_encoder(train, categories, NUMBERS)
+    *steps, _ = encoder.stages
     numbers = VectorAssembler(inputCols=NUMBERS, outputCol="numbers")
     coded = PipelineModel([*steps, numbers]).transform(train)
     scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True).fit(coded)
     features = VectorAssembler(inputCols=["scaled", *[f"code {c}" for c in categories]], outputCol="features")
     rows = features.transform(scaler.transform(coded)).withColumns({"fold": fold_of(folds=folds), "held_out": is_held_out()})
-    rows = materialise(rows.select("listing_id", "label", "fold", "held_out", "features"), "encoded")
-    tasks = rows.count() // ROWS_PER_TASK + 1
-    dealt = rows.repartition(tasks, "listing_id").sortWithinPartitions("listing_id")
-    return materialise(dealt, "encoded")
+    out = _dealt(rows.select("listing_id", "label", "fold", "held_out", "features"))
+    out.groups = code_ranges(encoder, categories, len(NUMBERS))
+    return out
 
 
 def fold_outcomes(rows: DataFrame, estimators: dict[str, Estimator], folds: int = 10) -> dict[str, list[tuple[float, float, float]]]:
     """Outcomes of every estimator on each fold and, last, on the held-out fifth (A-M6).
 
-    The fits do not depend on each other, so they are submitted side by side: while one waits for the driver
-    between two of its many small jobs, the tasks of others run. Boosted trees, a chain of thousands of steps, are
-    trained for all folds together.
+    The fits do not depend on each other: forests and boosted trees are trained for all folds in one stage, by tasks
+    that hold the rows. Other estimators, and forests on more rows than a task holds, are fitted side by side: while
+    one waits for the driver between two of its many small jobs, the tasks of others run.
     """
     tests = [F.col("fold") == fold for fold in range(folds)] + [F.col("held_out")]
-    chains = {name: e for name, e in estimators.items() if isinstance(e, GBTRegressor)}
+    groups = getattr(rows, "groups", [])
+
+    def together(estimator: Estimator) -> list[tuple[float, float, float]] | None:
+        if isinstance(estimator, GBTRegressor):
+            return boosting.fold_outcomes(rows, tests, boosting_of(estimator), groups)
+        sizes = grown.forest_of(estimator) if isinstance(estimator, RandomForestRegressor) else None
+        return grown.fold_outcomes(rows, tests, sizes, groups) if sizes else None
 
-    def outcome(job: tuple[str, int]) -> tuple[float, float, float]:
+    def one(job: tuple[str, int]) -> tuple[float, float, float]:
         name, fold = job
         test = tests[fold]
         model = estimators[name].copy().fit(rows.where(~test))
         return _outcome(model, rows.where(test))
 
-    jobs = [(name, fold) for name in estimators if name not in chains for fold in range(folds + 1)]
     with ThreadPool(FITS_AT_ONCE) as pool:
-        together = {n: pool.apply_async(boosting.fold_outcomes, (rows, tests, boosting_of(e))) for n, e in chains.items()}
-        found = dict(zip(jobs, pool.map(outcome, jobs, chunksize=1), strict=True))
-        whole = {name: got.get() for name, got in together.items()}
-    return {name: whole.get(name) or [found[name, fold] for fold in range(folds + 1)] for name in estimators}
+        started = {name: pool.apply_async(together, (e,)) for name, e in estimators.items()}
+        whole = {name: got.get() for name, got in started.items()}
+        jobs = [(name, fold) for name in estimators if whole[name] is None for fold in range(folds + 1)]
+        found = dict(zip(jobs, pool.map(one, jobs, chunksize=1), strict=True))
+    return {name: whole[name] or [found[name, fold] for fold in range(folds + 1)] for name in estimators}
 
 
 def boosting_of(estimator: GBTRegressor) -> boosting.Boosting:
