@@ -70,8 +70,12 @@ def fit(train: DataFrame, estimator: Estimator) -> PipelineModel:
     encoded = PipelineModel([*steps, numbers]).transform(train)
     scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True).fit(encoded)
     features = VectorAssembler(inputCols=["scaled", *[f"code {c}" for c in categories]], outputCol="features")
-    regressor = estimator.fit(features.transform(scaler.transform(encoded)))
-    return PipelineModel([*steps, numbers, scaler, features, regressor])
+    rows = features.transform(scaler.transform(encoded))
+    regressor, sizes = None, grown.forest_of(estimator) if isinstance(estimator, RandomForestRegressor) else None
+    if sizes:
+        kept = [c for c in ("listing_id", "label", "features") if c in rows.columns]
+        regressor = grown.fit(_dealt(rows.select(*kept)), sizes, code_ranges(encoder, categories, len(NUMBERS)))
+    return PipelineModel([*steps, numbers, scaler, features, regressor or estimator.fit(rows)])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:

@@ -140,6 +140,8 @@ def test_rows_too_many_for_a_task(spark, listings, monkeypatch):  # noqa: F811
     assert np.allclose(near["boosted"], far["boosted"], rtol=1e-6)
     assert [len(x) for x in far["forest"]] == [3] * 4 and far["forest"] != near["forest"]
     assert boosting.layout([np.array([0.5])]).fits(0) and not boosting.layout([np.array([0.5])]).fits(1)
+    model, _ = price.fit_final(listings[0], models["forest"])
+    assert not isinstance(model.stages[-1], forest.ForestModel)
 
 
 def test_jobs_do_not_grow_with_trees_and_depth(spark, listings):  # noqa: F811
@@ -147,3 +149,5 @@ def test_jobs_do_not_grow_with_trees_and_depth(spark, listings):  # noqa: F811
     compare = lambda *sizes: price.compare(df, {"forest": price.forest(*sizes), "boosted": price.boosted(sizes[0])}, folds=3)
     (_, few), (_, many) = (jobs(spark, lambda s=s: compare(*s)) for s in ((2, 2), (25, 15)))
     assert abs(many - few) <= 6
+    (_, few), (_, many) = (jobs(spark, lambda s=s: price.fit_final(df, price.forest(*s))) for s in ((2, 2), (25, 15)))
+    assert abs(many - few) <= 6
