@@ -32,7 +32,7 @@ from keystead.storage import materialise
 LOOKUP_CELLS = 1 << 21  # of the table of drawn features that is searched at once
 LARGE_NODE = 1500  # rows from which a node is split by itself
 EQUAL = 1e-9  # gains that differ by less do so by rounding; the first feature and bin count
-SCORED_AT_ONCE = 1 << 14  # rows, so that they stay in the cache of a core
+FEW_ROWS = 400  # below which rows of a node are scored each by itself
 ROWS_A_GROUP = 500_000  # rows that one task scores
 SCORES_A_RECORD = 100_000
 
@@ -66,20 +66,32 @@ class Tree:
     child: np.ndarray
     value: np.ndarray
 
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(codes))
-        for at in range(0, len(codes), SCORED_AT_ONCE):
-            some = codes[at : at + SCORED_AT_ONCE]
-            flat, width = some.ravel(), some.shape[1]
-            node, row, here = np.zeros(len(some), np.int32), np.arange(len(some)), np.zeros(len(some), np.int32)
+    def scores(self, columns: np.ndarray) -> np.ndarray:
+        """The value of every row's leaf. Rows of a node go on together while they are many, then each by itself."""
+        out = np.empty(columns.shape[1])
+        left, few = [(0, np.arange(columns.shape[1]))], []
+        while left:
+            node, rows = left.pop()
+            child = self.child[node]
+            if child == node:
+                out[rows] = self.value[node]
+            elif len(rows) < FEW_ROWS:
+                few.append((node, rows))
+            else:
+                seen = columns[self.column[node]][rows]
+                right = (seen >= self.low[node]) & (seen <= self.high[node])
+                left += [(child, rows[~right]), (child + 1, rows[right])]
+        if few:
+            row = np.concatenate([rows for _, rows in few])
+            here = np.repeat([node for node, _ in few], [len(rows) for _, rows in few])
+            flat, n = columns.ravel(), columns.shape[1]
             while len(row):
-                value = flat[row * width + self.column[here]]
-                here = self.child[here] + ((value >= self.low[here]) & (value <= self.high[here]))
-                node[row] = here
+                seen = flat[self.column[here].astype(np.int64) * n + row]
+                here = self.child[here] + ((seen >= self.low[here]) & (seen <= self.high[here]))
                 inner = self.child[here] != here
                 if not inner.all():
+                    out[row[~inner]] = self.value[here[~inner]]
                     row, here = row[inner], here[inner]
-            out[at : at + SCORED_AT_ONCE] = self.value[node]
         return out
 
     def to_bytes(self) -> list[bytes]:
@@ -343,9 +355,9 @@ def fold_outcomes(rows: DataFrame, tests: list, how: Forest, groups: list[range]
         own, k, share = gathered(part), task // parts, task % parts
         if own is not None:
             grower, test = Grower(coded, how.depth, own.codes), np.flatnonzero(own.tests[:, k])
-            total, codes = np.zeros(len(test)), own.codes[test]
+            total, columns = np.zeros(len(test)), grower.columns[:, test]
             for tree in range(share, how.trees, parts):
-                total += _tree(grower, own, own.trains[:, k], how, k, tree).scores(codes)
+                total += _tree(grower, own, own.trains[:, k], how, k, tree).scores(columns)
             for at in range(0, len(test), SCORES_A_RECORD):
                 some = slice(at, at + SCORES_A_RECORD)
                 yield (k, at), (own.label[test[some]], total[some])
@@ -391,9 +403,12 @@ class ForestModel(Model, HasFeaturesCol, MLReadable, MLWritable):
         def score(part: Iterator) -> Iterator[tuple]:
             got = [one for _, one in part]
             own = [Tree.from_bytes(*t[1:]) for key, t in sorted((x for x in got if x[0] is None), key=lambda x: x[1][0])]
-            for key, one in got:
-                if key is not None:
-                    yield key, (one.ids, sum((tree.scores(one.codes) for tree in own), np.zeros(len(one.ids))))
+            left = sorted((x for x in got if x[0] is not None), key=lambda x: x[0])  # the same in every task of a group
+            while left:
+                k = int(np.searchsorted(np.cumsum([len(one.ids) for _, one in left]), SCORES_A_RECORD)) + 1
+                some, left = left[:k], left[k:]
+                columns = np.concatenate([one.codes.T for _, one in some], axis=1)
+                yield some[0][0], (np.concatenate([one.ids for _, one in some]), sum((t.scores(columns) for t in own), np.zeros(columns.shape[1])))
 
         sums = dealt_trees.union(dealt_rows).partitionBy(tasks, int).mapPartitions(score)
         return sums.reduceByKey(lambda a, b: (a[0], a[1] + b[1])).map(lambda one: (one[1][0], one[1][1] / number))

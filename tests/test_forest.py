@@ -82,7 +82,9 @@ def test_tree_equals_one_grown_node_by_node(monkeypatch, large):
         tree = forest.Grower(how, 6, own).grow(y, w, np.random.default_rng(seed))
         draw = np.random.default_rng(seed)
         want = by_hand(codes, y, w.astype(float), 6, lambda n, draw=draw: forest.subsets(draw, n, 9, 3), [len(c) + 1 for c in cuts])
-        assert np.allclose(tree.scores(own), want, atol=1e-9) and len(tree.value) > 20
+        for few in (0, 30, 10**9):
+            monkeypatch.setattr(forest, "FEW_ROWS", few)
+            assert np.allclose(tree.scores(np.ascontiguousarray(own.T)), want, atol=1e-9) and len(tree.value) > 20
 
 
 def test_drawn_features_are_different_and_even():
